@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from riverbed.functions.keys import clean_address, clean_key
 from riverbed.llm.nearest import nearest_times
+from riverbed.llm.packing import fill, pack, segments
 from riverbed.llm.percentiles import exact_percentiles, interval_counts, merge_counts, percentiles_of_counts
+from riverbed.llm.tokens import token_counts, token_ids
 from riverbed.llm.topn import top_n
 from riverbed.session import cut, read
 
 #: Blocks within which a snapshot belongs to an action.
 TOLERANCE = 300
 PERMILLE = [500, 900, 990]
+#: Tokens of a container.
+CAPACITY = 2048
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +66,36 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(single, "key", ["a", "b", "c", "impact_id"], 3).select("impact_id")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document by byte_bpe_50k."""
+    return token_ids(read(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = token_counts(read(spark, sf_dir, "documents"), "text", ["doc_id", "source"])
+    return pack(sizes, "doc_id", "source", "tokens", CAPACITY)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the packing divides, as they alone exceed a container."""
+    return _packed(spark, sf_dir).where("segments > 1").select(F.col("item").alias("doc_id"))
+
+
+def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents of all containers."""
+    return segments(_packed(spark, sf_dir), CAPACITY).withColumnRenamed("item", "doc_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The containers of each window and the room left over in them."""
+    return fill(_packed(spark, sf_dir), CAPACITY)
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each source in each window."""
+    return _packed(spark, sf_dir).where("segments > 0").groupBy("window", "source").agg(F.sum("tokens").alias("tokens"))
+
+
 _BLANK = r"E' \t\r\n'"
 
 
@@ -78,7 +112,7 @@ def _ranked(table: str, value: str) -> str:
   FROM (SELECT {_address('pool_address')} AS g, {value}{' + 0.0::DOUBLE' if value == 'amount_usd' else ''} AS v FROM {table} WHERE {where})) GROUP BY g, n"""
 
 
-QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_segments": p7_segments, "p7_fill": p7_fill, "p7_mixture": p7_mixture}
 
 ORACLE = {
     "p2_found": f"""
