@@ -9,6 +9,7 @@ from riverbed.functions.keys import clean_address, clean_key
 from riverbed.llm.nearest import nearest_times
 from riverbed.llm.packing import fill, pack, segments
 from riverbed.llm.percentiles import exact_percentiles, interval_counts, merge_counts, percentiles_of_counts
+from riverbed.llm.reading import reading_levels
 from riverbed.llm.tokens import token_counts, token_ids
 from riverbed.llm.topn import top_n
 from riverbed.session import cut, read
@@ -18,6 +19,8 @@ TOLERANCE = 300
 PERMILLE = [500, 900, 990]
 #: Tokens of a container.
 CAPACITY = 2048
+#: Years of schooling from which a page is reported.
+SCHOOLING = 13
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +99,17 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir).where("segments > 0").groupBy("window", "source").agg(F.sum("tokens").alias("tokens"))
 
 
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of every document."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return reading_levels(documents, read(spark, sf_dir, "reading_labels"), cut=cut)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of running English whose level is 13 or more years."""
+    return p8_levels(spark, sf_dir).where(F.col("running") & (F.col("level") >= SCHOOLING)).select("doc_id")
+
+
 _BLANK = r"E' \t\r\n'"
 
 
@@ -112,7 +126,7 @@ def _ranked(table: str, value: str) -> str:
   FROM (SELECT {_address('pool_address')} AS g, {value}{' + 0.0::DOUBLE' if value == 'amount_usd' else ''} AS v FROM {table} WHERE {where})) GROUP BY g, n"""
 
 
-QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_segments": p7_segments, "p7_fill": p7_fill, "p7_mixture": p7_mixture}
+QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_segments": p7_segments, "p7_fill": p7_fill, "p7_mixture": p7_mixture, "p8_found": p8_found, "p8_levels": p8_levels}
 
 ORACLE = {
     "p2_found": f"""
