@@ -1,5 +1,5 @@
 """Named queries over the given tables, each module with ``QUERIES`` and ``ORACLE``."""
 
-from riverbed.plans import deliveries
+from riverbed.plans import deliveries, events
 
-ALL = [deliveries]
+ALL = [deliveries, events]
