@@ -16,23 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riverbed.session import cut, shuffle_partitions
+from riverbed.operators.ordered import running_totals
+from riverbed.session import cut
 
 #: Containers of one window.
 WINDOW = 1024
 
 
-def _running(df: DataFrame, key: str, order: list[str], amount: str) -> DataFrame:
-    """``df`` with ``upto``: the sum of ``amount`` within ``key`` up to and with each row, in the order of ``order``."""
-    laid = cut(df.repartitionByRange(2 * shuffle_partitions(df.sparkSession), key, *order).withColumn("__part", F.spark_partition_id()))
-    totals = laid.groupBy("__part", key).agg(F.sum(amount).alias("__sum"))
-    before = F.coalesce(F.sum("__sum").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.select(F.col("__part").alias("__p"), F.col(key).alias("__k"), before.alias("__before"))
-    here = F.sum(amount).over(Window.partitionBy("__part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = laid.withColumn("__here", here)
-    return rows.join(offsets, (F.col("__part") == F.col("__p")) & F.col(key).eqNullSafe(F.col("__k"))).withColumn("upto", F.col("__here") + F.col("__before")).drop("__part", "__p", "__k", "__before", "__here")
-
-
 def _windows(items: DataFrame, capacity: int, window: int, targets: dict[str, float] | None) -> DataFrame:
     """Items with the window that deficit round-robin serves them in."""
     sources = items.groupBy("source").agg(F.sum("tokens").cast("double").alias("queued"))
@@ -47,9 +37,9 @@ def _windows(items: DataFrame, capacity: int, window: int, targets: dict[str, fl
     # counters start at a part of the first item that differs by source, lest all queues end in one window
     phase = F.pmod(F.xxhash64(F.coalesce("source", F.lit("\0"))), F.lit(1 << 20)) / F.lit(float(1 << 20))
     quanta = quanta.select(F.col("source").alias("__s"), "quantum", phase.alias("phase"))
-    queued = _running(items.withColumn("turn", F.xxhash64("item")), "source", ["turn", "item"], "tokens")
-    turn = F.floor((F.col("upto") - 1 - F.col("phase") * (F.col("tokens") - 1)) / F.col("quantum")).cast("long")
-    return queued.join(quanta, F.col("source").eqNullSafe(F.col("__s"))).withColumn("window", turn).drop("__s", "turn", "upto", "phase", "quantum")
+    queued = running_totals(items.withColumn("turn", F.xxhash64("item")), ["source"], ["turn", "item"], ["tokens"])
+    turn = F.floor((F.col("tokens_upto") - 1 - F.col("phase") * (F.col("tokens") - 1)) / F.col("quantum")).cast("long")
+    return queued.join(quanta, F.col("source").eqNullSafe(F.col("__s"))).withColumn("window", turn).drop("__s", "turn", "tokens_upto", "phase", "quantum")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:

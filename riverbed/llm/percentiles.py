@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riverbed.session import cut
 
@@ -23,14 +24,14 @@ from riverbed.session import cut
 STEP = 10
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def ordinal(values: pd.Series) -> pd.Series:
     """A whole number for each finite double, in the same order; 0.0 and -0.0 are one."""
     bits = (values.to_numpy(dtype=np.float64, na_value=0.0) + 0.0).view(np.int64)
     return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def from_ordinal(numbers: pd.Series) -> pd.Series:
     n = numbers.to_numpy(dtype=np.int64, na_value=0)
     return pd.Series(np.where(n < 0, n ^ np.int64(0x7FFFFFFFFFFFFFFF), n).view(np.float64)).where(numbers.notna())
