@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WIDTH, LIMBS = 18, 5
-_BASE = 10**WIDTH
 
 
 def limbs(text: Column) -> list[Column]:
@@ -25,27 +24,11 @@ def sum_limbs(text: Column) -> list[Column]:
     return [F.sum(x.cast("decimal(38,0)")) for x in limbs(text)]
 
 
+@F.pandas_udf(T.StringType())
+def _joined(parts: pd.Series) -> pd.Series:
+    return parts.map(lambda ls: None if ls is None or any(x is None for x in ls) else str(sum(int(x) * 10 ** (WIDTH * i) for i, x in enumerate(ls))))
+
+
 def text_of(parts: list[Column]) -> Column:
-    """The decimal text of summed limbs; null where all are null.
-
-    Carries are moved up with a floored division, so lower limbs end in [0, 10^18) and the top one has the sign.
-    A negative number is negated first and gets its sign back.
-    """
-    base = F.lit(_BASE).cast("decimal(19,0)")
-    parts = [F.coalesce(p.cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")) for p in parts]
-    top = F.coalesce(*[F.when(p != 0, F.signum(p)) for p in _settled(parts, base)[::-1]], F.lit(0.0))
-    plain = _settled([F.when(top < 0, -p).otherwise(p) for p in parts], base)
-    text = F.concat(*[F.lpad(p.cast("string"), WIDTH, "0") for p in reversed(plain)])
-    bare = F.regexp_replace(text, "^0+(?=.)", "")
-    return F.when(top < 0, F.concat(F.lit("-"), bare)).otherwise(bare)
-
-
-def _settled(parts: list[Column], base: Column) -> list[Column]:
-    def step(done: tuple[list[Column], Column], part: Column):
-        out, carry = done
-        whole = (part + carry).cast("decimal(38,0)")
-        up = F.floor((whole - F.pmod(whole, base)).cast("decimal(38,0)") / base).cast("decimal(38,0)")
-        return [*out, F.pmod(whole, base).cast("decimal(38,0)")], up
-
-    out, carry = reduce(step, parts[:-1], ([], F.lit(0).cast("decimal(38,0)")))
-    return [*out, (parts[-1] + carry).cast("decimal(38,0)")]
+    """The decimal text of summed limbs, one per group; null where a group has no number."""
+    return _joined(F.array(*parts))

@@ -1,5 +1,5 @@
 """Named queries over the given tables, each module with ``QUERIES`` and ``ORACLE``."""
 
-from riverbed.plans import deliveries, events
+from riverbed.plans import deliveries, events, positions, statistics
 
-ALL = [deliveries, events]
+ALL = [deliveries, events, positions, statistics]
