@@ -26,7 +26,7 @@ STATE_CONF = {
 
 
 @contextmanager
-def _conf(spark: SparkSession, conf: dict[str, str]):
+def configured(spark: SparkSession, conf: dict[str, str]):
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
@@ -67,7 +67,7 @@ def stream_registry(stream: DataFrame, registry: str, checkpoint: str, *, retent
     def commit(batch: DataFrame, number: int) -> None:
         batch.select("id_key", "block", "log", "delivery").write.mode("overwrite").parquet(f"{registry}/batch={number}")
 
-    with _conf(spark, STATE_CONF):
+    with configured(spark, STATE_CONF):
         seen = delivery_keys(stream, **columns).withWatermark("arrived", retention).groupBy(F.window("arrived", "1 day"), "id_key", "block", "log").agg(F.min("delivery").alias("delivery"))
         query = seen.writeStream.outputMode("update").foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
