@@ -80,6 +80,8 @@ def matched(df: DataFrame, key: str, order: list[str], name: str, treated: str,
     rows = df.select(key, *order, F.col(name).cast("string").alias("__name"), F.coalesce(F.col(treated), F.lit(False)).alias("__treated"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"__f{i}") for i, f in enumerate(features)])
     cells = number_rows(rows, key, [*order, "__name"]).withColumn("__cell", F.floor(F.col("row_in_key") / stratum)).select(key, "__cell", "__name", "__treated", *[f"__f{i}" for i in range(len(features))])
 
+    none = pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object), "d": pd.Series([], dtype=float)})
+
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("__name", ignore_index=True)
         x = rows[[f"__f{i}" for i in range(len(features))]].to_numpy()
@@ -87,7 +89,7 @@ def matched(df: DataFrame, key: str, order: list[str], name: str, treated: str,
         x = x / np.where((spread > 0) & np.isfinite(spread), spread, 1.0)
         t, c = np.flatnonzero(rows["__treated"]), np.flatnonzero(~rows["__treated"])
         if not len(t) or not len(c):
-            return pd.DataFrame({"a": [], "b": [], "d": []}).astype({"a": str, "b": str, "d": float})
+            return none
         cost = pair_cost(x[t], x[c])
         free, pairs = np.ones(len(c), bool), []
         for i in np.argsort(-cost.min(1), kind="stable"):
@@ -96,7 +98,7 @@ def matched(df: DataFrame, key: str, order: list[str], name: str, treated: str,
                 free[j] = False
                 pairs.append((int(i), j))
         if not pairs:
-            return pd.DataFrame({"a": [], "b": [], "d": []}).astype({"a": str, "b": str, "d": float})
+            return none
         own = cost[[i for i, _ in pairs]]
         partner = improve(np.where(own <= caliper, own, np.inf), np.array([j for _, j in pairs]))
         names = rows["__name"].to_numpy()
