@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,25 +63,24 @@ class XFastTries:
 def _match(bits: int, tolerance: int):
     wide = bits + 2
 
-    def match(wanted: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(wanted) or not len(known):
-            return pd.DataFrame({"k": [], "t": [], "m": []}).astype({"t": "int64", "m": "int64"})
-        names, _ = pd.factorize(pd.concat([wanted["k"], known["k"]], ignore_index=True))
-        cells = pd.MultiIndex.from_arrays([names, np.r_[wanted["cell"].to_numpy(), known["cell"].to_numpy()]])
-        tries, _ = pd.factorize(cells)
-        base = np.r_[wanted["cell"].to_numpy(), known["cell"].to_numpy()] - 1
-        keys = (tries.astype(np.int64) << wide) | (np.r_[wanted["t"].to_numpy(), known["t"].to_numpy()] - (base << bits))
-        leaves = np.unique(keys[len(wanted) :])
-        ask = keys[: len(wanted)]
+    def match(wanted: pa.Table, known: pa.Table) -> pa.Table:
+        k = pa.chunked_array([*wanted["k"].chunks, *known["k"].chunks], wanted.schema.field("k").type).combine_chunks().dictionary_encode()
+        t = np.r_[wanted["t"].to_numpy(), known["t"].to_numpy()].astype(np.int64)
+        cell = np.r_[wanted["cell"].to_numpy(), known["cell"].to_numpy()].astype(np.int64)
+        names = k.indices.to_numpy(zero_copy_only=False) if isinstance(k, pa.DictionaryArray) else k.combine_chunks().indices.to_numpy(zero_copy_only=False)
+        tries, _ = pd.factorize(pd.MultiIndex.from_arrays([names, cell]))
+        keys = (tries.astype(np.int64) << wide) | (t - ((cell - 1) << bits))
+        leaves, ask, t = np.unique(keys[len(wanted) :]), keys[: len(wanted)], t[: len(wanted)]
+        if not len(leaves) or not len(ask):
+            return pa.table({"k": wanted["k"].slice(0, 0), "t": pa.array([], pa.int64()), "m": pa.array([], pa.int64())})
         before, after = XFastTries(leaves, wide).around(ask)
         never = np.iinfo(np.int64).max
         back = np.where(before >= 0, ask - leaves[before], never)
         ahead = np.where(after >= 0, leaves[after] - ask, never)
         earlier = back <= ahead
         gap = np.where(earlier, back, ahead)
-        t = wanted["t"].to_numpy()
         found = gap <= tolerance
-        return pd.DataFrame({"k": wanted["k"].to_numpy()[found], "t": t[found], "m": np.where(earlier, t - gap, t + gap)[found]})
+        return pa.table({"k": wanted["k"].filter(pa.array(found)), "t": pa.array(t[found]), "m": pa.array(np.where(earlier, t - gap, t + gap)[found])})
 
     return match
 
@@ -110,6 +110,6 @@ def nearest_times(left: DataFrame, right: DataFrame, tolerance: int, *, key: str
         .select(part, k, cell, t)
     )
     kind = left.schema[key].dataType.simpleString()
-    found = wanted.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(_match(bits, int(tolerance)), f"k {kind}, t long, m long")
+    found = wanted.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_match(bits, int(tolerance)), f"k {kind}, t long, m long")
     rows = left.drop(out).alias("l")
     return rows.join(found.alias("f"), (F.col(f"l.{key}") == F.col("f.k")) & (F.col(f"l.{time}").cast("long") == F.col("f.t")), "left").select("l.*", F.col("f.m").alias(out))

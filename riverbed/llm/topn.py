@@ -37,7 +37,8 @@ def _bounds(n: int, order: list[str]):
             codes = codes[at]
             start = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
             size = np.diff(np.r_[start, len(codes)])
-            yield block.iloc[at[start[size >= n] + n - 1]]
+            if (size >= n).any():
+                yield block.iloc[at[start[size >= n] + n - 1]]
 
     return local
 
