@@ -1,0 +1,177 @@
+"""Exact integer arithmetic of concentrated liquidity: prices of ticks, amounts between prices, exact-input trades.
+
+Prices are square roots in 96-bit fixed point.  These are small helpers for functions that Spark runs per state.
+"""
+
+from __future__ import annotations
+
+from bisect import bisect_right
+from decimal import ROUND_HALF_UP, Decimal, localcontext
+from functools import cache, lru_cache
+from typing import NamedTuple
+
+Q96, MAX_TICK, FEE_UNIT, MAX_STEPS = 1 << 96, 887272, 1_000_000, 10_000
+
+
+@cache
+def _powers() -> tuple[int, ...]:
+    """1.0001^(-2^i / 2) in 128-bit fixed point, rounded, by bit of the tick."""
+    with localcontext() as c:
+        c.prec = 120
+        return tuple(int((Decimal(2) ** 128 / (Decimal("1.0001") ** (1 << i)).sqrt()).to_integral_value(ROUND_HALF_UP)) for i in range(20))
+
+
+@lru_cache(100_000)
+def price_at(tick: int) -> int:
+    """The square-root price of a tick, rounded up."""
+    if abs(tick) > MAX_TICK:
+        raise ValueError(f"tick {tick} out of range")
+    ratio = 1 << 128
+    for i, power in enumerate(_powers()):
+        if abs(tick) >> i & 1:
+            ratio = ratio * power >> 128
+    if tick > 0:
+        ratio = ((1 << 256) - 1) // ratio
+    return -(-ratio >> 32)
+
+
+def tick_at(price: int) -> int:
+    """The greatest tick whose price is not above ``price``."""
+    if not price_at(-MAX_TICK) <= price < price_at(MAX_TICK):
+        raise ValueError("price out of range")
+    return bisect_right(range(-MAX_TICK, MAX_TICK + 1), price, key=price_at) - MAX_TICK - 1
+
+
+def up(n: int, d: int) -> int:
+    """n / d, rounded up."""
+    return -(-n // d)
+
+
+def amount0(a: int, b: int, liquidity: int, rounded_up: bool) -> int:
+    """Token 0 between two prices."""
+    a, b = min(a, b), max(a, b)
+    top = (liquidity << 96) * (b - a)
+    return up(up(top, b), a) if rounded_up else top // b // a
+
+
+def amount1(a: int, b: int, liquidity: int, rounded_up: bool) -> int:
+    """Token 1 between two prices."""
+    top = liquidity * abs(b - a)
+    return up(top, Q96) if rounded_up else top // Q96
+
+
+def price_after(price: int, liquidity: int, paid: int, zero_in: bool) -> int:
+    """The price after paying in token 0 (rounded up) or token 1 (rounded down) at constant liquidity."""
+    if not zero_in:
+        return price + (paid << 96) // liquidity
+    scaled, product = liquidity << 96, paid * price
+    # where the product does not fit in 256 bits the protocol divides first
+    return up(scaled * price, scaled + product) if product < 1 << 256 and scaled + product < 1 << 256 else up(scaled, scaled // price + paid)
+
+
+class Step(NamedTuple):
+    price: int
+    paid: int
+    got: int
+    fee: int
+
+
+def swap_step(price: int, target: int, liquidity: int, left: int, fee: int) -> Step:
+    """A trade of at most ``left`` of the token that moves the price towards ``target``, without passing it."""
+    zero_in = target <= price
+    paid_for, got_for = (amount0, amount1) if zero_in else (amount1, amount0)
+    net = left * (FEE_UNIT - fee) // FEE_UNIT
+    whole = paid_for(price, target, liquidity, True)
+    after = target if net >= whole else price_after(price, liquidity, net, zero_in)
+    paid = whole if after == target else paid_for(price, after, liquidity, True)
+    got = got_for(price, after, liquidity, False)
+    return Step(after, paid, got, left - paid if after != target else up(paid * fee, FEE_UNIT - fee))
+
+
+class Pool(NamedTuple):
+    """A state: price, tick, active liquidity, and the net liquidity on sorted ticks."""
+
+    price: int
+    tick: int
+    liquidity: int
+    ticks: list[int]
+    nets: list[int]
+
+
+def pool_of(positions: list[tuple[int, int, int]], tick: int) -> Pool:
+    """The state that positions (lower, upper, liquidity) make at a tick's price."""
+    net: dict[int, int] = {}
+    for lower, upper, liquidity in positions:
+        net[lower] = net.get(lower, 0) + liquidity
+        net[upper] = net.get(upper, 0) - liquidity
+    ticks = sorted(t for t, n in net.items() if n)
+    return Pool(price_at(tick), tick, sum(x for lower, upper, x in positions if lower <= tick < upper), ticks, [net[t] for t in ticks])
+
+
+class Trade(NamedTuple):
+    price: int
+    tick: int
+    got: int
+    left: int
+    crossed: int
+
+
+def trade(pool: Pool, amount: int, zero_in: bool, fee: int, locate: bool = False) -> Trade:
+    """An exact-input trade across ticks; what is left over found no liquidity.
+
+    Between ticks the tick stays that of the last border unless ``locate`` asks for the one of the price.
+    """
+    price, tick, liquidity, left, got, crossed = pool.price, pool.tick, pool.liquidity, amount, 0, 0
+    at = bisect_right(pool.ticks, tick) - 1 if zero_in else bisect_right(pool.ticks, tick)
+    for _ in range(MAX_STEPS):
+        if left <= 0 or not 0 <= at < len(pool.ticks):
+            break
+        border = pool.ticks[at]
+        target = price_at(border)
+        if liquidity > 0 and price != target:
+            step = swap_step(price, target, liquidity, left, fee)
+            price, got, left = step.price, got + step.got, left - step.paid - step.fee
+        else:
+            price = target
+        if price != target:
+            tick = tick_at(price) if locate else tick
+            break
+        liquidity += -pool.nets[at] if zero_in else pool.nets[at]
+        tick, at, crossed = (border - 1, at - 1, crossed + 1) if zero_in else (border, at + 1, crossed + 1)
+    return Trade(price, tick, got, left, crossed)
+
+
+def impact(before: int, after: int) -> float:
+    """Change of price in basis points, without sign, of two square-root prices."""
+    return abs(after * after - before * before) * 10_000 / (before * before)
+
+
+def least_amount(pool: Pool, target: float, zero_in: bool, fee: int, most: int = 256) -> int | None:
+    """The least amount with at least the target impact; None where none has it.
+
+    The search starts at what the active liquidity alone would need, goes from there in doubling steps to where the
+    target is no longer, or first, reached, and halves the last step.
+    """
+    reached = lambda a: impact(pool.price, trade(pool, a, zero_in, fee).price) >= target
+    ratio = max(1e-9, 1 + (-target if zero_in else target) / 10_000) ** 0.5
+    there = max(1, int(pool.price * ratio))
+    guess = (amount0 if zero_in else amount1)(pool.price, there, pool.liquidity, True) * FEE_UNIT // (FEE_UNIT - fee)
+    low = high = max(1, guess)
+    step = 1
+    if reached(high):
+        while (low := max(0, high - step)) and reached(low):
+            high, step = low, step * 2
+    else:
+        for _ in range(most):
+            if trade(pool, low, zero_in, fee).left:
+                return None
+            high, step = low + step, step * 2
+            if reached(high):
+                break
+            low = high
+        else:
+            return None
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if reached(middle) else (middle, high)
+    return high

@@ -1,0 +1,91 @@
+"""What trades would do to pool states, and what removing a position changes about it.
+
+A state is the list of a pool's positions at one snapshot, of the length that the snapshot lists; states are
+simulated independently of one another, so work is keyed by (pool, snapshot) and never by pool.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from riverbed.functions.protocol import MAX_TICK, impact, least_amount, pool_of, price_at, trade
+
+#: Impacts in basis points whose amounts make the grid of a state.
+TARGETS = (1.0, 5.0, 10.0, 25.0, 50.0)
+
+
+def states(positions: DataFrame, key: list[str], tick: str, lower: str, upper: str, liquidity: str, name: str) -> DataFrame:
+    """``(key..., tick, positions)``: the valid positions of each state, an array of (name, lower, upper, liquidity).
+
+    Positions without liquidity, with bounds that are null, crossed or out of range, and states without a tick are
+    left out.
+    """
+    good = F.col(tick).isNotNull() & (F.col(liquidity) > 0) & (F.col(lower) < F.col(upper)) & (F.col(lower) >= -MAX_TICK) & (F.col(upper) <= MAX_TICK) & (F.abs(tick) < MAX_TICK)
+    row = F.struct(F.col(name).cast("string").alias("name"), F.col(lower).cast("int").alias("lower"), F.col(upper).cast("int").alias("upper"), F.col(liquidity).cast("string").alias("liquidity"))
+    return positions.where(good).groupBy(*key).agg(F.min(tick).cast("int").alias("tick"), F.array_sort(F.collect_list(row)).alias("positions"))
+
+
+def _curve(pool, amounts: list[int], zero_in: bool, fee: int) -> list[float]:
+    return [impact(pool.price, trade(pool, a, zero_in, fee).price) for a in amounts]
+
+
+def _area(amounts: list[int], impacts: list[float]) -> float:
+    """Area under the curve from (0, 0) over its greatest amount."""
+    x0 = y0 = total = 0.0
+    for x, y in zip(amounts, impacts):
+        total += (x - x0) * (y + y0) / 2
+        x0, y0 = x, y
+    return total / x0 if x0 else 0.0
+
+
+def simulated(df: DataFrame, key: list[str], fee: int = 3000, targets: tuple[float, ...] = TARGETS) -> DataFrame:
+    """``(key..., zero_in, target, amount, impact, got)``: least amounts with each target impact, in both directions.
+
+    A target that the state's liquidity cannot show has a null amount.
+    """
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i, (tick, positions) in enumerate(zip(batch["tick"], batch["positions"])):
+                pool = pool_of([(int(p["lower"]), int(p["upper"]), int(p["liquidity"])) for p in positions], int(tick))
+                for zero_in in (True, False):
+                    for target in targets:
+                        a = least_amount(pool, target, zero_in, fee)
+                        t = trade(pool, a, zero_in, fee) if a else None
+                        out.append((i, zero_in, target, str(a) if a else None, impact(pool.price, t.price) if t else None, str(t.got) if t else None))
+            rows = pd.DataFrame(out, columns=["i", "zero_in", "target", "amount", "impact", "got"])
+            yield pd.concat([batch[key].iloc[rows["i"]].reset_index(drop=True), rows.drop(columns="i")], axis=1)
+
+    return df.select(*key, "tick", "positions").mapInPandas(run, f"{kinds}, zero_in boolean, target double, amount string, impact double, got string")
+
+
+def removals(df: DataFrame, key: list[str], fee: int = 3000, targets: tuple[float, ...] = TARGETS) -> DataFrame:
+    """``(key..., name, zero_for_one, one_for_zero)``: what each position's removal adds to the mean impact of trades.
+
+    Both curves of a direction run over the grid of the whole state; the difference of their areas counts where it is
+    positive.  A direction without any reachable target counts 0.
+    """
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i, (tick, positions) in enumerate(zip(batch["tick"], batch["positions"])):
+                tick = int(tick)
+                all_ = [(int(p["lower"]), int(p["upper"]), int(p["liquidity"])) for p in positions]
+                pool, found = pool_of(all_, tick), [[0.0, 0.0] for _ in all_]
+                for way, zero_in in enumerate((True, False)):
+                    grid = [a for a in (least_amount(pool, t, zero_in, fee) for t in targets) if a]
+                    base = _area(grid, _curve(pool, grid, zero_in, fee))
+                    for n in range(len(all_) if grid else 0):
+                        rest = pool_of(all_[:n] + all_[n + 1 :], tick)
+                        found[n][way] = max(0.0, _area(grid, _curve(rest, grid, zero_in, fee)) - base)
+                out += [(i, p["name"], a, b) for p, (a, b) in zip(positions, found)]
+            rows = pd.DataFrame(out, columns=["i", "name", "zero_for_one", "one_for_zero"])
+            yield pd.concat([batch[key].iloc[rows["i"]].reset_index(drop=True), rows.drop(columns="i")], axis=1)
+
+    return df.select(*key, "tick", "positions").mapInPandas(run, f"{kinds}, name string, zero_for_one double, one_for_zero double")

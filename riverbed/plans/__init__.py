@@ -1,5 +1,5 @@
 """Named queries over the given tables, each module with ``QUERIES`` and ``ORACLE``."""
 
-from riverbed.plans import deliveries, events, positions, statistics, streams, study
+from riverbed.plans import deliveries, events, positions, simulation, statistics, streams, study
 
-ALL = [deliveries, events, positions, statistics, streams, study]
+ALL = [deliveries, events, positions, simulation, statistics, streams, study]

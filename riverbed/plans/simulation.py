@@ -1,0 +1,40 @@
+"""Queries that simulate trades on the states of pools."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riverbed.operators.curves import curve_measures
+from riverbed.operators.liquidity import removals, simulated, states
+from riverbed.plans.base import impacts
+from riverbed.session import cut, shuffle_partitions
+
+KEY = ["pool", "snapshot_index"]
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # spread over more partitions than a shuffle of this size would get: the work is in the simulation
+    found = states(impacts(spark, sf_dir), KEY, "current_tick", "tick_lower", "tick_upper", "liquidity", "key")
+    return cut(found).repartition(4 * shuffle_partitions(spark), *KEY)
+
+
+def amount_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least amounts that move each state's price by 1 to 50 basis points, in both directions."""
+    return simulated(_states(spark, sf_dir), KEY)
+
+
+def simulated_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean impact and depth at 10 basis points of each state and direction."""
+    grid = amount_grids(spark, sf_dir).where("amount IS NOT NULL").withColumn("x", F.col("amount").cast("double"))
+    return curve_measures(grid, [*KEY, "zero_in"], "x", "impact", [10.0])
+
+
+def removal_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing each position adds to the mean impact of trades in either direction and in both."""
+    r = removals(_states(spark, sf_dir), KEY)
+    return r.withColumn("total", F.col("zero_for_one") + F.col("one_for_zero"))
+
+
+QUERIES = {f.__name__: f for f in (amount_grids, simulated_depths, removal_impacts)}
+ORACLE: dict[str, str] = {}

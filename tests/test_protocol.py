@@ -1,0 +1,89 @@
+"""Public vectors of the protocol's arithmetic (fixed values), and the properties that the searches promise."""
+
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from riverbed.functions.protocol import Q96, amount0, amount1, impact, least_amount, pool_of, price_after, price_at, swap_step, tick_at, trade
+from riverbed.operators.liquidity import removals, simulated, states
+
+E18 = 10**18
+
+
+def root(n, d):
+    from math import isqrt
+
+    return isqrt((n << 192) // d)
+
+
+def test_ticks():
+    assert price_at(-887272) == 4295128739 and price_at(0) == Q96
+    assert price_at(887272) == 1461446703485210103287273052203988822378723970342
+    for t in (-887272, -500, -1, 0, 1, 60, 887271):
+        assert tick_at(price_at(t)) == t and tick_at(price_at(t + 1) - 1) == t
+    with pytest.raises(ValueError):
+        price_at(887273)
+
+
+def test_prices_and_amounts():
+    assert price_after(Q96, E18, E18 // 10, False) == 87150978765690771352898345369
+    assert price_after(Q96, E18, E18 // 10, True) == 72025602285694852357767227579
+    high = root(121, 100)
+    assert (amount0(Q96, high, E18, True), amount0(Q96, high, E18, False)) == (90909090909090910, 90909090909090909)
+    assert (amount1(Q96, high, E18, True), amount1(Q96, high, E18, False)) == (100000000000000000, 99999999999999999)
+
+
+def test_steps():
+    s = swap_step(Q96, root(101, 100), 2 * E18, E18, 600)
+    assert (s.paid, s.fee, s.got) == (9975124224178055, 5988667735148, 9925619580021728)
+    s = swap_step(Q96, root(1000, 100), 2 * E18, E18, 600)
+    assert (s.paid, s.fee, s.got) == (999400000000000000, 600000000000000, 666399946655997866)
+    s = swap_step(2413, 79887613182836312, 1985041575832132834610021537970, 10, 1872)
+    assert tuple(s) == (2413, 0, 0, 10)
+
+
+POSITIONS = [(-600, 600, 10**18), (-60, 120, 5 * 10**18), (-6000, 6000, 10**17)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 10**18), st.booleans(), st.sampled_from([0, 500, 3000]))
+def test_trades_keep_what_they_are_given(amount, zero_in, fee):
+    pool = pool_of(POSITIONS, 7)
+    t = trade(pool, amount, zero_in, fee)
+    assert 0 <= t.left <= amount and (t.price <= pool.price if zero_in else t.price >= pool.price)
+    more = trade(pool, amount + 10**12, zero_in, fee)
+    assert more.got >= t.got and impact(pool.price, more.price) >= impact(pool.price, t.price)
+
+
+@pytest.mark.parametrize("zero_in", [True, False])
+def test_least_amount_is_least(zero_in):
+    pool = pool_of(POSITIONS, 7)
+    for target in (1.0, 10.0, 100.0, 900.0):
+        a = least_amount(pool, target, zero_in, 500)
+        assert impact(pool.price, trade(pool, a, zero_in, 500).price) >= target > impact(pool.price, trade(pool, a - 1, zero_in, 500).price)
+    assert least_amount(pool, 1e9, True, 500) is None and least_amount(pool_of([], 0), 1.0, True, 500) is None
+
+
+def test_crossing():
+    pool = pool_of(POSITIONS, 7)
+    assert pool.liquidity == sum(x for *_, x in POSITIONS)
+    down, up = trade(pool, 10**17, True, 3000, True), trade(pool, 10**18, False, 3000, True)
+    # a tick crossed on the way down is left below, though the price still stands on it
+    assert down.crossed == 3 and down.left and down.tick == -6001 and tick_at(down.price) == -6000
+    assert up.crossed and up.tick == tick_at(up.price)
+
+
+def test_states_and_removals(spark):
+    rng = random.Random(1)
+    rows = [("p", 0, 7, low, high, x, f"n{i}") for i, (low, high, x) in enumerate(POSITIONS)] + [("p", 1, None, 0, 60, 10, "x"), ("q", 0, 5, 60, 0, 10, "crossed"), ("q", 0, 5, 0, 60, None, "none"), ("z", 0, 0, 600, 1200, 10**15, "away")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "pool string, s int, tick int, lo int, hi int, liquidity long, name string")
+    st_ = states(df, ["pool", "s"], "tick", "lo", "hi", "liquidity", "name")
+    assert {(r.pool, r.s, len(r.positions)) for r in st_.collect()} == {("p", 0, 3), ("z", 0, 1)}
+    got = {r.name: r for r in removals(st_, ["pool", "s"]).collect()}
+    assert got["n1"].zero_for_one > got["n0"].zero_for_one > got["n2"].zero_for_one >= 0 and got["away"].zero_for_one == 0.0
+    grid = simulated(st_, ["pool", "s"]).where("pool = 'p'").collect()
+    assert len(grid) == 10 and all(r.impact >= r.target for r in grid)
+    assert simulated(st_.where("false"), ["pool", "s"]).count() == 0
