@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riverbed.functions.scalars import block_bin, seeded_score
@@ -26,7 +26,8 @@ def stratified_order(df: DataFrame, key: str, block: str, name: Column, order: l
     """
     spans = df.groupBy(key).agg(F.min(block).alias("__lo"), F.max(block).alias("__hi"))
     rows = df.join(spans, key).withColumn("bin", block_bin(F.col(block), F.col("__lo"), F.col("__hi"), bins)).withColumn("__score", seeded_score(seed, name)).drop("__lo", "__hi")
-    drawn = rows.withColumn("round", F.row_number().over(Window.partitionBy(key, "bin").orderBy("__score", *order))).drop("__score")
+    cells = number_rows(rows.withColumn("__cell", F.struct(key, "bin")), "__cell", ["__score", *order])
+    drawn = cells.withColumn("round", F.col("row_in_key") + 1).drop("__score", "__cell", "row_in_key")
     return number_rows(drawn, key, ["round", "bin"]).withColumnRenamed("row_in_key", "place")
 
 

@@ -69,10 +69,17 @@ def haloed(df: DataFrame, key: str, position: str, width: int, back: int = 0, ah
 
 
 def neighbours(df: DataFrame, key: str, position: str, reach: int) -> DataFrame:
-    """``df`` with ``near``: whether another row of the key lies within ``reach`` positions; at the same place counts."""
-    rows = haloed(df, key, position, max(1024, 2 * reach), reach, reach)
-    w = Window.partitionBy(key, "bucket").orderBy(F.col(position).cast("long")).rangeBetween(-reach, reach)
-    return rows.withColumn("near", F.count("*").over(w) > 1).where("own").drop("bucket", "own")
+    """``df`` with ``near``: whether another row of the key lies within ``reach`` positions; at the same place counts.
+
+    Rows at one position are counted first, so a bucket holds no more than its positions.  Rows whose key or position
+    is null have none near them.
+    """
+    places = df.where(F.col(key).isNotNull() & F.col(position).isNotNull()).groupBy(F.col(key).alias("__k"), F.col(position).cast("long").alias("__p")).agg(F.count("*").alias("__n"))
+    rows = haloed(places, "__k", "__p", max(1024, 2 * reach), reach, reach)
+    w = Window.partitionBy("__k", "bucket").orderBy("__p").rangeBetween(-reach, reach)
+    crowd = rows.withColumn("__crowd", F.sum("__n").over(w)).where("own").select("__k", "__p", "__crowd")
+    on = (F.col(key) == F.col("__k")) & (F.col(position).cast("long") == F.col("__p"))
+    return df.join(crowd, on, "left").withColumn("near", F.coalesce(F.col("__crowd") > 1, F.lit(False))).select(*df.columns, "near")
 
 
 def cursor(block: str = "block_number", log: str = "log_index") -> Column:

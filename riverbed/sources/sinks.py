@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,14 @@ from pyspark.sql import functions as F
 from riverbed.operators.ordered import first_per
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    fs, at = _file_system(spark, path)
+    return fs.exists(at(path))
 
 
 def append_window(df: DataFrame, path: str, first: int, last: int, block: str = "block_number") -> None:
@@ -56,16 +62,16 @@ def upsert(df: DataFrame, path: str, key: list[str], latest: list[str | Column],
 def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
     """A report as one CSV file with a header, complete or not there at all.
 
-    The rows are sorted by Spark and streamed through the driver partition by partition; meant for reports.
+    A task streams the sorted rows to a folder beside the file, which is then renamed; nothing passes the driver.
     """
-    folder = os.path.dirname(os.path.abspath(path))
-    with tempfile.NamedTemporaryFile("w", dir=folder, suffix=".part", delete=False, newline="") as f:
-        f.write(",".join(df.columns) + "\n")
-        for row in df.orderBy(*order).select(F.to_csv(F.struct(*[F.col(c) for c in df.columns])).alias("line")).toLocalIterator():
-            f.write(row.line + "\n")
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(f.name, path)
+    spark = df.sparkSession
+    part = f"{path}.part-{uuid.uuid4().hex}"
+    df.orderBy(*order).coalesce(1).write.csv(part, header=True, emptyValue='""')
+    fs, at = _file_system(spark, path)
+    made = [f.getPath() for f in fs.listStatus(at(part)) if f.getPath().getName().endswith(".csv")]
+    fs.delete(at(path), False)
+    fs.rename(made[0], at(path))
+    fs.delete(at(part), True)
 
 
 def write_json(value: dict, path: str) -> None:

@@ -14,7 +14,7 @@ def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(2, "x,y"), (1, 'q"'), (3, None)], SCHEMA)
     write_csv(df, path, ["a"])
     assert [r.a for r in read_csv(spark, path, SCHEMA).collect()] == [1, 2, 3]
-    assert not list(tmp_path.glob("*.part"))
+    assert not list(tmp_path.glob("*.part*"))
     for bad in ("a,a\n1,2\n", "a\n1\n", "a,b,c\n1,2,3\n"):
         (tmp_path / "bad.csv").write_text(bad)
         with pytest.raises(ValueError):
