@@ -32,6 +32,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Texts split at once, words and pairs remembered by a worker before it forgets and starts anew.
 SLICE, MOST_WORDS, MOST_PAIRS = 256, 400_000, 400_000
 
+#: Characters after which a long text is cut at the next place between two words.
+SPAN = 1 << 20
+_SEAM = re.compile(r"(?<=\S)[ \n](?=\S)")
+
 
 #: White space of any kind but blank and line end, and the mark used for cutting.
 _ODD = re.compile("[\0\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -45,6 +49,15 @@ def _simple(text: str) -> bool:
     return "  " not in text and " \n" not in text and "\n " not in text and "\n\n" not in text and text[-1] not in " \n" and not _ODD.search(text)
 
 
+def _spans(text: str) -> Iterator[str]:
+    """A long text in spans that begin with a single blank or line end between two words."""
+    at = 0
+    while len(text) - at > SPAN and (seam := _SEAM.search(text, at + SPAN)):
+        yield text[at : seam.start()]
+        at = seam.start()
+    yield text[at:]
+
+
 class TrieEncoder:
     """Encodes words by a rank table: token bytes to token id, in which a lower id is merged first."""
 
@@ -127,6 +140,9 @@ class TrieEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Token ids of each text, as 32-bit numbers in a row; none for an empty or null one."""
+        return [b"".join(self._encode(list(_spans(t)))) if t and len(t) > SPAN else e for t, e in zip(texts, self._encode([None if t and len(t) > SPAN else t for t in texts]))]
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.chunks(t) if t else [] for t in texts]
         if len(self.known) > MOST_WORDS:
             self.known.clear()

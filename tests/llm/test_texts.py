@@ -35,6 +35,15 @@ def test_encoding_of_odd_texts(encoders, text):
     assert ids(encoders[0], text) == encoders[1].encode_ordinary(text)
 
 
+@needs_vocabulary
+def test_encoding_of_long_texts_in_spans(encoders, monkeypatch):
+    monkeypatch.setattr(tokens, "SPAN", 40)
+    rng = random.Random(2)
+    text = "".join(rng.choice(["word", "Two", " ", " ", "\n", "\n\n", "  ", "\r\n", "\t", "don't", "12", "."]) for _ in range(5000))
+    assert len(list(tokens._spans(text))) > 50
+    assert ids(encoders[0], text) == encoders[1].encode_ordinary(text)
+
+
 @needs_vocabulary
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\r\tabcdeinorst.,'-019ſé\xa0\x00"), st.characters(codec="utf-8")), max_size=60))
