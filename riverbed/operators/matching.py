@@ -107,3 +107,33 @@ def matched(df: DataFrame, key: str, order: list[str], name: str, treated: str,
 
     found = cells.groupBy(key, "__cell").applyInPandas(match, "a string, b string, d double")
     return found.select(F.col("a").alias(name), F.col("b").alias("control"), F.col("d").alias("distance"))
+
+
+def controls(df: DataFrame, key: str, order: list[str], name: str, treated: str, features: list[str], caliper: float, per: int = 3, reuse: int = 3, stratum: int = STRATUM) -> DataFrame:
+    """``(name, control, choice, distance)``: up to ``per`` controls for each treated row, each used up to ``reuse`` times.
+
+    Strata, scaling and nulls as in ``matched``.  Treated rows with the fewest controls within the caliper choose
+    first, of these the one whose nearest is farthest, then by name; each takes its nearest controls that are still
+    to be had.
+    """
+    rows = df.select(key, *order, F.col(name).cast("string").alias("__name"), F.coalesce(F.col(treated), F.lit(False)).alias("__treated"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"__f{i}") for i, f in enumerate(features)])
+    cells = number_rows(rows, key, [*order, "__name"]).withColumn("__cell", F.floor(F.col("row_in_key") / stratum)).select(key, "__cell", "__name", "__treated", *[f"__f{i}" for i in range(len(features))])
+    none = pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object), "n": pd.Series([], dtype="int64"), "d": pd.Series([], dtype=float)})
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__name", ignore_index=True)
+        x = rows[[f"__f{i}" for i in range(len(features))]].to_numpy()
+        spread = x.std(0, ddof=1) if len(x) > 1 else np.ones(x.shape[1])
+        x = x / np.where((spread > 0) & np.isfinite(spread), spread, 1.0)
+        t, c = np.flatnonzero(rows["__treated"]), np.flatnonzero(~rows["__treated"])
+        if not len(t) or not len(c):
+            return none
+        cost, uses, names, out = pair_cost(x[t], x[c]), np.zeros(len(c), int), rows["__name"].to_numpy(), []
+        for i in np.lexsort((names[t].astype(str), -cost.min(1), (cost <= caliper).sum(1))):
+            near = [j for j in np.argsort(cost[i], kind="stable") if cost[i, j] <= caliper and uses[j] < reuse][:per]
+            uses[near] += 1
+            out += [(names[t[i]], names[c[j]], n + 1, float(cost[i, j])) for n, j in enumerate(near)]
+        return pd.DataFrame(out, columns=["a", "b", "n", "d"]) if out else none
+
+    found = cells.groupBy(key, "__cell").applyInPandas(choose, "a string, b string, n long, d double")
+    return found.select(F.col("a").alias(name), F.col("b").alias("control"), F.col("n").alias("choice"), F.col("d").alias("distance"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riverbed.operators.curves import curve_measures
-from riverbed.operators.matching import matched, spaced, stratified_order
-from riverbed.operators.ordered import asof
+from riverbed.operators.matching import controls, matched, spaced, stratified_order
+from riverbed.operators.ordered import asof, haloed
+from riverbed.operators.stats import smd
 from riverbed.plans.base import ACTIONS, IMPACTS, SNAPSHOTS, actions, impacts, snapshots, sql
 from riverbed.session import cut
 
@@ -61,7 +62,46 @@ def impact_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("pool", "snapshot_index", "points", *[F.round(c, 5).alias(c) for c in ("reach", "area", "depth_1", "depth_10", "depth_100")], "breached_1", "breached_10", "breached_100")
 
 
-QUERIES = {f.__name__: f for f in (stratified_burns, spaced_burns, burn_horizons, horizon_counts, matched_positions, impact_curves)}
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts(spark, sf_dir).where("total IS NOT NULL").withColumn("wide", F.col("range_width") >= 10_000)
+
+
+def controlled_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three narrow positions for each wide one, each used up to three times, and how their impacts differ."""
+    i = cut(_wide(spark, sf_dir))
+    pairs = controls(i, "pool", ["snapshot_index", "impact_id"], "impact_id", "wide", ["share", "distance_to_nearest_edge"], CALIPER)
+    total = i.select(F.col("impact_id").cast("string").alias("id"), "total")
+    both = pairs.join(total.withColumnsRenamed({"id": "impact_id", "total": "own"}), "impact_id").join(total.withColumnsRenamed({"id": "control", "total": "other"}), "control")
+    return both.groupBy("impact_id").agg(F.count("*").alias("controls"), F.max("own").alias("total"), F.avg("other").alias("control_mean"), (F.max("own") - F.avg("other")).alias("excess"))
+
+
+def matched_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standardised differences of covariates before and after matching."""
+    i = cut(_wide(spark, sf_dir))
+    pairs = matched(i, "pool", ["snapshot_index", "impact_id"], "impact_id", "wide", ["share", "distance_to_nearest_edge"], CALIPER)
+    chosen = pairs.select(F.explode(F.array("impact_id", "control")).alias("id"))
+    names = ["share", "distance_to_nearest_edge", "total"]
+    long = i.select(F.col("impact_id").cast("string").alias("id"), "wide", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["id", "wide"], names, "covariate", "value")
+    before = long.groupBy("covariate").agg(smd(F.col("value"), F.col("wide")).alias("before"))
+    after = long.join(chosen, "id", "left_semi").groupBy("covariate").agg(smd(F.col("value"), F.col("wide")).alias("after"))
+    return before.join(after, "covariate", "left")
+
+
+def horizon_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions after all burns by horizon, and how many burns have fewer at a horizon than at the one before (none)."""
+    near = HORIZONS[:2]
+    a = cut(actions(spark, sf_dir).select("id", "pool", "block_number", "log_index", "action_type"))
+    width = 256
+    later = haloed(a.select("pool", "block_number", "log_index"), "pool", "block_number", width, ahead=near[-1]).drop("own").withColumnsRenamed({"block_number": "b", "log_index": "l"})
+    burns = a.where("action_type = 2").withColumn("bucket", F.floor(F.col("block_number") / width))
+    inside = burns.join(later, ["pool", "bucket"]).where((F.struct("b", "l") > F.struct("block_number", "log_index")) & (F.col("b") <= F.col("block_number") + near[-1]))
+    counts = burns.select("id").join(inside.groupBy("id").agg(*[F.count_if(F.col("b") <= F.col("block_number") + h).alias(f"h{h}") for h in near]), "id", "left")
+    long = counts.select("id", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.coalesce(f"h{h}", F.lit(0)).alias("events")) for h in near])).alias("x")).select("id", "x.*")
+    fewer = F.col("events") < F.lag("events").over(Window.partitionBy("id").orderBy("horizon"))
+    return long.withColumn("fewer", fewer).groupBy("horizon").agg(F.count("*").alias("burns"), F.sum("events").alias("events"), F.count_if("fewer").alias("violations"))
+
+
+QUERIES = {f.__name__: f for f in (stratified_burns, spaced_burns, burn_horizons, horizon_counts, matched_positions, controlled_positions, matched_balance, horizon_flows, impact_curves)}
 
 _HORIZONS = f"""h AS (SELECT b.id, b.pool, horizon, b.block_number + horizon AS block_number FROM actions b, (SELECT unnest({HORIZONS}) AS horizon) WHERE b.action_type = 2),
 heads AS (SELECT pool, max(block_number) AS head FROM snaps GROUP BY 1),
@@ -76,5 +116,6 @@ ORACLE = {
 nexts AS (SELECT b.pool, b.block_number, min(n.block_number) AS following FROM b LEFT JOIN b n ON n.pool = b.pool AND b.block_number + {SPACING} <= n.block_number GROUP BY 1, 2)""", "SELECT pool, block_number FROM (WITH RECURSIVE c AS (SELECT pool, min(block_number) AS block_number FROM b GROUP BY 1 UNION ALL SELECT n.pool, n.following FROM c JOIN nexts n ON n.pool = c.pool AND n.block_number = c.block_number WHERE n.following IS NOT NULL) SELECT * FROM c)"),
     "burn_horizons": sql(ACTIONS, SNAPSHOTS, _HORIZONS, "SELECT id, horizon, observed, CASE WHEN observed THEN seen END AS snapshot_block, CASE WHEN observed THEN tick END AS tick FROM o"),
     "horizon_counts": sql(ACTIONS, SNAPSHOTS, _HORIZONS, "SELECT horizon, count(*) AS expected, count(*) FILTER (observed) AS observed, count(*) FILTER (NOT observed) AS censored FROM o GROUP BY 1"),
+    "horizon_flows": sql(ACTIONS, f"""n AS (SELECT b.id, h, count(e.id) AS events FROM actions b CROSS JOIN (SELECT unnest({HORIZONS[:2]}) AS h) LEFT JOIN actions e ON e.pool = b.pool AND (e.block_number, e.log_index) > (b.block_number, b.log_index) AND e.block_number <= b.block_number + h WHERE b.action_type = 2 GROUP BY 1, 2)""", "SELECT h AS horizon, count(*) AS burns, CAST(sum(events) AS BIGINT) AS events, 0 AS violations FROM n GROUP BY 1"),
     "impact_curves": sql(IMPACTS, "p AS (SELECT pool, snapshot_index, sum(share) OVER w AS x, max(total) OVER w AS y FROM impacts WHERE share IS NOT NULL AND total IS NOT NULL WINDOW w AS (PARTITION BY pool, snapshot_index ORDER BY distance_to_nearest_edge NULLS FIRST, impact_id ROWS UNBOUNDED PRECEDING))", "q AS (SELECT *, lag(x, 1, 0) OVER w AS x0, lag(y, 1, 0) OVER w AS y0 FROM p WINDOW w AS (PARTITION BY pool, snapshot_index ORDER BY x, y))", f"r AS (SELECT *, {_STEP} FROM q)", f"SELECT pool, snapshot_index, count(*) AS points, round(max(x), 5) AS reach, round(CASE WHEN max(x) > 0 THEN sum((x - x0) * (y + y0) / 2) / max(x) ELSE 0 END, 5) AS area, {_DEPTH} FROM r GROUP BY 1, 2"),
 }

@@ -113,3 +113,17 @@ def test_matching_is_one_to_one_and_swaps_help(spark):
     cost = np.random.default_rng(0).random((6, 6))
     start = np.arange(6)
     assert cost[start, improve(cost, start)].sum() <= cost[start, start].sum()
+
+
+def test_controls_are_shared_up_to_a_limit(spark):
+    from collections import Counter
+
+    from riverbed.operators.matching import controls
+
+    rng = random.Random(7)
+    rows = [("k", i, i % 2 == 0, rng.random(), None) for i in range(80)]
+    got = controls(spark.createDataFrame(rows, "k string, i int, t boolean, x double, y double"), "k", ["i"], "i", "t", ["x", "y"], 0.5, per=3, reuse=2).collect()
+    assert max(Counter(r.control for r in got).values()) <= 2 and max(Counter(r.i for r in got).values()) <= 3
+    assert all(int(r.i) % 2 == 0 and int(r.control) % 2 and r.distance <= 0.5 for r in got)
+    one = spark.createDataFrame(rows[:1], "k string, i int, t boolean, x double, y double")
+    assert controls(one, "k", ["i"], "i", "t", ["x"], 1.0).count() == 0
