@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverbed.functions.exact import exact_cents
-from riverbed.functions.keys import clean_address
+from riverbed.functions.keys import clean_address, clean_key, key_hash
 from riverbed.operators.chunks import per_key_totals
 from riverbed.operators.redelivery import batch_pairs, kept_deliveries, repeated_deliveries, single_deliveries, streamed_pairs
 from riverbed.session import cut, read
@@ -31,7 +31,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_pool_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries, distinct identifiers and the sum of finite amounts (in cents) of every pool."""
     actions = read(spark, sf_dir, "lp_actions").select(
-        clean_address("pool_address").alias("pool_address"), F.lower(F.btrim("id", F.lit(" \t\r\n"))).alias("id"), "delivery_id", exact_cents("amount_usd").alias("cents")
+        clean_address("pool_address").alias("pool_address"), key_hash(clean_key("id")).alias("id"), "delivery_id", exact_cents("amount_usd").alias("cents")
     )
     return per_key_totals(actions, "pool_address", "id", ["delivery_id"], "cents").select("pool_address", "row_count", "item_count", F.col("amount_sum").cast("string").alias("cents"))
 
@@ -80,7 +80,7 @@ WHERE pool_address IS NOT NULL AND n >= whole * {HOT_SHARE}""",
     "p1_pool_totals": f"""
 WITH a AS (SELECT {address_sql('pool_address')} AS pool_address, lower(trim(id, {_BLANK})) AS id,
   CASE WHEN isfinite(amount_usd) THEN round_even(amount_usd * 100, 0) END AS c FROM lp_actions)
-SELECT pool_address, count(*) AS row_count, count(DISTINCT id) AS item_count,
+SELECT pool_address, count(*) AS row_count, count(DISTINCT nullif(id, '')) AS item_count,
   CAST(sum(CAST(floor(c / 4294967296.0::DOUBLE) AS HUGEINT) * 4294967296 + CAST(c - floor(c / 4294967296.0::DOUBLE) * 4294967296.0::DOUBLE AS HUGEINT)) AS VARCHAR) AS cents
 FROM a GROUP BY 1""",
     "p4_found": _LINKS + "SELECT v AS delivery_id FROM first WHERE v <> r",
