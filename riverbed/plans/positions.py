@@ -17,6 +17,8 @@ from riverbed.session import cut, read
 
 #: Positions reported per pool; shares of liquidity that a prefix must cover; closeness of near ties, and how many.
 TOP, COVER, GAP, TIES, ALL_TIES = 20, 0.95, 0.05, 5, 50
+#: The reference's audit of near shares: greatest gap, pairs of a snapshot and in all, logarithm of the ratio to an impact of 0.
+NEAR_GAP, NEAR_PAIRS, ALL_PAIRS, ZERO_LOG = 0.10, 25, 500, 12.0
 
 
 def active_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,21 +125,23 @@ def direction_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions of one snapshot whose shares differ by at most 5 %, by how unlike their impacts are.
+    """Positions of one snapshot whose shares differ by at most 10 %, by how unlike their impacts are.
 
-    Pairs are sought among shares of the same or the next magnitude step only; up to 5 of a snapshot, 50 in all.
+    A pair needs one impact above 0; where the other is 0 the logarithm of their ratio counts as 12, so these come first.
+    Pairs are sought among shares of the same or the next magnitude step only; the best 25 of a snapshot, 500 in all.
     """
-    i = impacts(spark, sf_dir).where("share > 0 AND total > 0").select("pool", "snapshot_index", "key", "share", "total")
-    step = F.floor(F.log("share") / abs(log(1 - GAP)))
+    i = impacts(spark, sf_dir).where("share > 0 AND total IS NOT NULL").select("pool", "snapshot_index", "key", "share", "total")
+    step = F.floor(F.log("share") / (abs(log(1 - NEAR_GAP)) * (1 + 1e-9)))
     a = i.withColumn("step", step).alias("a")
     b = i.withColumn("step", F.explode(F.array(step - 1, step, step + 1))).alias("b")
     on = (F.col("a.pool") == F.col("b.pool")) & (F.col("a.snapshot_index") == F.col("b.snapshot_index")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.key") < F.col("b.key"))
     gap = F.abs(F.col("a.share") - F.col("b.share")) / F.greatest("a.share", "b.share")
-    score = F.round(F.log10(F.greatest("a.total", "b.total") / F.least("a.total", "b.total")) * (1 - gap), 9)
-    pairs = a.join(b, on).where(gap <= GAP).select(F.col("a.pool").alias("pool"), F.col("a.snapshot_index").alias("snapshot_index"), F.col("a.key").alias("key"), F.col("b.key").alias("other"), score.alias("score"))
+    high, low = F.greatest("a.total", "b.total"), F.least("a.total", "b.total")
+    score = F.round(F.when(low > 0, F.log10(high / low)).otherwise(F.lit(ZERO_LOG)) * (1 - gap), 9)
+    pairs = a.join(b, on).where((gap <= NEAR_GAP) & (high > 0)).select(F.col("a.pool").alias("pool"), F.col("a.snapshot_index").alias("snapshot_index"), F.col("a.key").alias("key"), F.col("b.key").alias("other"), score.alias("score"))
     best = [F.desc("score"), "key", "other"]
-    few = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("pool", "snapshot_index").orderBy(*best))).where(F.col("rn") <= TIES).drop("rn")
-    return few.orderBy(F.desc("score"), "pool", "snapshot_index", "key", "other").limit(ALL_TIES)
+    few = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("pool", "snapshot_index").orderBy(*best))).where(F.col("rn") <= NEAR_PAIRS).drop("rn")
+    return few.orderBy(F.desc("score"), "pool", "snapshot_index", "key", "other").limit(ALL_PAIRS)
 
 
 def direction_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
