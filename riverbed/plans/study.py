@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riverbed.operators.curves import curve_measures
 from riverbed.operators.matching import controls, matched, spaced, stratified_order
-from riverbed.operators.ordered import asof, haloed
+from riverbed.operators.ordered import asof, running_totals
 from riverbed.operators.stats import smd
 from riverbed.plans.base import ACTIONS, IMPACTS, SNAPSHOTS, actions, impacts, snapshots, sql
 from riverbed.session import cut
@@ -88,17 +88,21 @@ def matched_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def horizon_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actions after all burns by horizon, and how many burns have fewer at a horizon than at the one before (none)."""
-    near = HORIZONS[:2]
+    """Actions after all burns by horizon, and how many burns have fewer at a horizon than at the one before (none).
+
+    The actions of a pool are numbered by place, those of one place alike; what lies after a burn is the last number at
+    or before its horizon less the burn's own.
+    """
     a = cut(actions(spark, sf_dir).select("id", "pool", "block_number", "log_index", "action_type"))
-    width = 256
-    later = haloed(a.select("pool", "block_number", "log_index"), "pool", "block_number", width, ahead=near[-1]).drop("own").withColumnsRenamed({"block_number": "b", "log_index": "l"})
-    burns = a.where("action_type = 2").withColumn("bucket", F.floor(F.col("block_number") / width))
-    inside = burns.join(later, ["pool", "bucket"]).where((F.struct("b", "l") > F.struct("block_number", "log_index")) & (F.col("b") <= F.col("block_number") + near[-1]))
-    counts = burns.select("id").join(inside.groupBy("id").agg(*[F.count_if(F.col("b") <= F.col("block_number") + h).alias(f"h{h}") for h in near]), "id", "left")
-    long = counts.select("id", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.coalesce(f"h{h}", F.lit(0)).alias("events")) for h in near])).alias("x")).select("id", "x.*")
+    place = ["pool", "block_number", "log_index"]
+    counted = a.where("pool IS NOT NULL AND block_number IS NOT NULL AND log_index IS NOT NULL").groupBy(*place).agg(F.count("*").alias("n"))
+    numbered = cut(running_totals(counted, ["pool"], ["block_number", "log_index"], ["n"]).select(*place, F.col("n_upto").alias("upto")))
+    burns = a.where("action_type = 2").select("id", *place).join(numbered, place, "left")
+    due = burns.select("id", "pool", F.col("upto").alias("own"), "block_number", F.explode(F.array(*[F.lit(h) for h in HORIZONS])).alias("horizon")).withColumn("block_number", F.col("block_number") + F.col("horizon"))
+    at = asof(due, numbered, "pool", "block_number", "upto")
+    counts = at.select("id", "horizon", F.coalesce(F.col("state") - F.col("own"), F.lit(0)).alias("events"))
     fewer = F.col("events") < F.lag("events").over(Window.partitionBy("id").orderBy("horizon"))
-    return long.withColumn("fewer", fewer).groupBy("horizon").agg(F.count("*").alias("burns"), F.sum("events").alias("events"), F.count_if("fewer").alias("violations"))
+    return counts.withColumn("fewer", fewer).groupBy("horizon").agg(F.count("*").alias("burns"), F.sum("events").alias("events"), F.count_if("fewer").alias("violations"))
 
 
 QUERIES = {f.__name__: f for f in (stratified_burns, spaced_burns, burn_horizons, horizon_counts, matched_positions, controlled_positions, matched_balance, horizon_flows, impact_curves)}
