@@ -7,7 +7,7 @@ partial sums per partition.  No key is ever gathered in one task.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riverbed.operators.chunks import number_rows
+from riverbed.session import cut, shuffle_partitions
 
 
 def average_ranks(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -121,31 +122,62 @@ def wilcoxon(df: DataFrame, key: str, value: str) -> DataFrame:
     return a.select(key, "n", "w_plus", z.alias("z")).withColumn("p", two_sided("z"))
 
 
-def _replicates(df: DataFrame, key: str, value: str, iterations: int, seed: int, kind: str) -> DataFrame:
-    """Per key the sums over its rows of value times a random weight, and of the weights, for each iteration.
+#: Bounds of 32-bit numbers between the values 0, 1, 2, ... of a Poisson variable of mean 1; probabilities are met to 2^-32.
+_POISSON = [x for k in range(16) if (x := round(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)))) < 2**32]
 
-    A row's weights come from a generator seeded by the row's own hash, so they do not depend on partitions; the
-    partial sums of partitions simply add up.
+
+def _poisson(rng: np.random.Generator, n: int) -> np.ndarray:
+    u, w = rng.integers(0, 1 << 32, n, dtype=np.uint32), np.zeros(n, np.uint8)
+    for x in _POISSON:
+        w += u >= np.uint32(x)
+    return w
+
+
+def _signs(rng: np.random.Generator, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(rng.bytes((n + 7) // 8), np.uint8))[:n].view(np.int8) * np.int8(2) - np.int8(1)
+
+
+def _replicates(df: DataFrame, key: str, value: str, iterations: int, seed: int, draw: Callable, finish: Callable, result: str) -> DataFrame:
+    """Per key ``n``, ``mean`` and ``finish`` of the sums over its rows of value times a random weight, and of the weights.
+
+    ``finish`` takes both sums for all iterations, and the plain sum.  A row's weights come from a generator seeded by
+    the row's own hash, so they do not depend on partitions.  Rows are laid out in order of keys over range partitions,
+    so a task holds the sums of one key at a time; only the first and the last key of a partition may have rows in
+    others, and only their sums are shuffled and added up.
     """
     rows = df.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("v"), F.xxhash64(*[F.col(c) for c in df.columns], F.lit(seed)).alias("h"))
+    laid = rows.repartitionByRange(2 * shuffle_partitions(df.sparkSession), "k", "h").sortWithinPartitions("k", "h")
+    names = [x.split()[0] for x in result.split(", ")]
+
+    def row(k: str | None, n: int, t: float, s: np.ndarray, w: np.ndarray, whole: bool) -> pd.DataFrame:
+        done = finish(s, w, t) if whole else [None] * len(names)
+        return pd.DataFrame({"k": [k], "n": [n], "t": [t], "s": [None if whole else s], "w": [None if whole else w]} | {c: [x] for c, x in zip(names, done)})
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun = first = False
         for batch in batches:
-            weights = np.empty((len(batch), iterations))
-            for i, h in enumerate(batch["h"]):
-                rng = np.random.Generator(np.random.SFC64(int(h) & 0xFFFFFFFFFFFFFFFF))
-                weights[i] = rng.poisson(1.0, iterations) if kind == "bootstrap" else rng.integers(0, 2, iterations) * 2 - 1
-            codes, keys = pd.factorize(batch["k"], use_na_sentinel=False)
-            order = np.argsort(codes, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
-            v, weights = batch["v"].to_numpy()[order], weights[order]
-            yield pd.DataFrame(
-                {"k": keys, "s": list(np.add.reduceat(weights * v[:, None], first)), "w": list(np.add.reduceat(weights, first)), "n": np.diff(np.r_[first, len(v)]), "t": np.add.reduceat(v, first)}
-            )
-
-    parts = rows.mapInPandas(partial, "k string, s array<double>, w array<double>, n long, t double")
-    flat = parts.select("k", "n", "t", F.posexplode(F.arrays_zip("s", "w")).alias("i", "x")).select("k", "i", "x.s", "x.w", "n", "t")
-    return flat.groupBy("k", "i").agg(F.sum("s").alias("s"), F.sum("w").alias("w"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+            for k, v, h in zip(batch["k"].where(batch["k"].notna(), None).tolist(), batch["v"].tolist(), batch["h"].tolist()):
+                k = None if k is None or k != k else k
+                if not begun or k != at:
+                    if begun:
+                        yield row(at, n, t, s, w, not first)
+                    first, begun = not begun, True
+                    at, n, t, s, w = k, 0, 0.0, np.zeros(iterations), np.zeros(iterations)
+                weights = draw(np.random.Generator(np.random.SFC64(h & 0xFFFFFFFFFFFFFFFF)), iterations)
+                n, t = n + 1, t + v
+                s += weights * v
+                w += weights
+        if begun:
+            yield row(at, n, t, s, w, False)
+
+    def added(parts: pd.DataFrame) -> pd.DataFrame:
+        k, t = parts["k"].iloc[0], math.fsum(parts["t"])
+        return row(None if k is None or k != k else k, int(parts["n"].sum()), t, np.sum(np.stack(list(parts["s"])), axis=0), np.sum(np.stack(list(parts["w"])), axis=0), True)
+
+    schema = f"k string, n long, t double, s array<double>, w array<double>, {result}"
+    parts = cut(laid.mapInPandas(partial, schema))
+    both = parts.where("s IS NULL").unionByName(parts.where("s IS NOT NULL").groupBy("k").applyInPandas(added, schema))
+    return both.select(F.col("k").alias(key), "n", (F.col("t") / F.col("n")).alias("mean"), *names)
 
 
 def bootstrap_mean(df: DataFrame, key: str, value: str, iterations: int = 500, seed: int = 1) -> DataFrame:
@@ -153,15 +185,19 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, iterations: int = 500, s
 
     Rows should be distinct; equal rows draw equal weights.
     """
-    r = _replicates(df, key, value, iterations, seed, "bootstrap").where("w > 0").withColumn("m", F.col("s") / F.col("w"))
     low, high = math.floor(0.025 * (iterations - 1)), math.ceil(0.975 * (iterations - 1))
-    return r.groupBy(F.col("k").alias(key)).agg(F.max("n").alias("n"), F.max(F.col("t") / F.col("n")).alias("mean"), F.array_sort(F.collect_list("m")).alias("ms")).select(
-        key, "n", "mean", F.get("ms", F.least(F.lit(low), F.size("ms") - 1)).alias("low"), F.get("ms", F.least(F.lit(high), F.size("ms") - 1)).alias("high")
-    )
+
+    def ends(s: np.ndarray, w: np.ndarray, _: float) -> list[float | None]:
+        m = np.sort(s[w > 0] / w[w > 0])
+        return [float(m[min(x, len(m) - 1)]) if len(m) else None for x in (low, high)]
+
+    return _replicates(df, key, value, iterations, seed, _poisson, ends, "low double, high double")
 
 
 def sign_flip(df: DataFrame, key: str, value: str, iterations: int = 500, seed: int = 2) -> DataFrame:
     """``(key, n, mean, p)``: permutation test of the mean 0 by random signs, p = (extreme + 1) / (iterations + 1)."""
-    r = _replicates(df.where(F.col(value) != 0), key, value, iterations, seed, "signs")
-    extreme = F.count_if(F.abs("s") >= F.abs("t") - 1e-12 * F.abs("t"))
-    return r.groupBy(F.col("k").alias(key)).agg(F.max("n").alias("n"), F.max(F.col("t") / F.col("n")).alias("mean"), ((extreme + 1) / F.lit(iterations + 1)).alias("p"))
+
+    def extreme(s: np.ndarray, _: np.ndarray, t: float) -> list[float]:
+        return [float((np.count_nonzero(np.abs(s) >= abs(t) - 1e-12 * abs(t)) + 1) / (iterations + 1))]
+
+    return _replicates(df.where(F.col(value) != 0), key, value, iterations, seed, _signs, extreme, "p double")

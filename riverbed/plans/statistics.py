@@ -10,6 +10,8 @@ from riverbed.operators.stats import bootstrap_mean, concentration, holm, interp
 from riverbed.plans.base import IMPACTS, impacts, sql
 from riverbed.session import cut
 
+#: Replicates of the bootstrap and of the test by random signs, as in the reference.
+DRAWS = 20_000
 METRICS, TARGETS = ["share", "range_width", "distance_to_nearest_edge"], ["zero_for_one", "one_for_zero", "total"]
 
 
@@ -83,8 +85,8 @@ def adjusted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mean_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean difference of directions with an interval by resampling and a test by random signs, by pool."""
     rows = cut(impacts(spark, sf_dir).where("zero_for_one IS NOT NULL AND one_for_zero IS NOT NULL").select("pool", "impact_id", (F.col("zero_for_one") - F.col("one_for_zero")).alias("d")))
-    b = bootstrap_mean(rows, "pool", "d", 200)
-    return b.join(sign_flip(rows, "pool", "d", 200).select("pool", "p"), "pool", "left")
+    b = bootstrap_mean(rows, "pool", "d", DRAWS)
+    return b.join(sign_flip(rows, "pool", "d", DRAWS).select("pool", "p"), "pool", "left")
 
 
 QUERIES = {f.__name__: f for f in (share_correlation, correlation_matrix, impact_percentiles, impact_standing, pool_concentration, balance, signed_ranks, adjusted_tests, adjusted_scores, mean_intervals)}
