@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riverbed.functions.keys import key_hash
 from riverbed.operators.components import connected_components
 from riverbed.session import cut, fresh_path
 from riverbed.streaming.seen import add_late, delivery_keys, merged_registry, stream_registry
 
 
+def _linked(pairs: DataFrame) -> DataFrame:
+    """``(vertex, component)`` of the deliveries of pairs that share the identifier or the position with another pair."""
+    by_id = pairs.where("id_key IS NOT NULL").groupBy("id_key").agg(F.count("*").alias("n"), F.min("delivery").alias("v")).where("n > 1").drop("n")
+    by_place = pairs.where("block IS NOT NULL").groupBy("block", "log").agg(F.count("*").alias("n"), F.min("delivery").alias("v")).where("n > 1").drop("n")
+    edges = cut(
+        pairs.join(by_id, "id_key").select(F.col("delivery").alias("u"), "v").unionByName(pairs.join(by_place, ["block", "log"]).select(F.col("delivery").alias("u"), "v"))
+    )
+    return connected_components(edges)
+
+
 def kept_deliveries(pairs: DataFrame) -> DataFrame:
     """``delivery`` of the one delivery kept of each action.
 
@@ -18,16 +29,26 @@ def kept_deliveries(pairs: DataFrame) -> DataFrame:
     that share neither with another pair are kept as they are; only the rest goes through components.
     """
     pairs = cut(pairs)
-    by_id = pairs.where("id_key IS NOT NULL").groupBy("id_key").agg(F.count("*").alias("n"), F.min("delivery").alias("v")).where("n > 1").drop("n")
-    by_place = pairs.where("block IS NOT NULL").groupBy("block", "log").agg(F.count("*").alias("n"), F.min("delivery").alias("v")).where("n > 1").drop("n")
-    edges = cut(
-        pairs.join(by_id, "id_key").select(F.col("delivery").alias("u"), "v").unionByName(pairs.join(by_place, ["block", "log"]).select(F.col("delivery").alias("u"), "v"))
-    )
-    linked = connected_components(edges)
-    lost = linked.where("vertex <> component").select(F.col("vertex").alias("delivery"))
+    lost = _linked(pairs).where("vertex <> component").select(F.col("vertex").alias("delivery"))
     return pairs.select("delivery").join(lost, "delivery", "left_anti")
 
 
+def with_actions(df: DataFrame, also: list[str], **columns: str) -> DataFrame:
+    """``(action, also...)`` of each row of ``df``: sixteen bytes that are alike for deliveries of one action only.
+
+    They stand for the pair of identifiers, or for the component of a pair that is linked to others, so that only linked
+    pairs are joined to the rows.  Rows without a delivery number have no action.
+    """
+    keyed = delivery_keys(df, also=also, **columns)
+    pairs = cut(keyed.groupBy("id_key", "block", "log").agg(F.min("delivery").alias("delivery")))
+    linked = pairs.join(_linked(pairs), F.col("delivery") == F.col("vertex")).select(F.col("id_key").alias("__i"), F.col("block").alias("__b"), F.col("log").alias("__l"), "component")
+    same = F.col("id_key").eqNullSafe(F.col("__i")) & F.col("block").eqNullSafe(F.col("__b")) & F.col("log").eqNullSafe(F.col("__l"))
+    none = F.lit("")
+    own = F.concat_ws("|", F.coalesce(F.hex("id_key"), none), F.coalesce(F.col("block").cast("string"), none), F.coalesce(F.col("log").cast("string"), none))
+    action = key_hash(F.coalesce(F.col("component").cast("string"), own))
+    return keyed.join(linked, same, "left").select(action.alias("action"), *also).unionByName(df.where(F.col(columns.get("delivery_col", "delivery_id")).isNull()).select(F.lit(None).cast("binary").alias("action"), *also))
+
+
 def batch_pairs(df: DataFrame, **columns: str) -> DataFrame:
     """The pairs of a table at rest, as the stream would leave them in its registry."""
     return delivery_keys(df, **columns).groupBy("id_key", "block", "log").agg(F.min("delivery").alias("delivery"))

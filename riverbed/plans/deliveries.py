@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverbed.functions.exact import exact_cents
-from riverbed.functions.keys import clean_address, clean_key, key_hash
+from riverbed.functions.keys import clean_address
 from riverbed.operators.chunks import per_key_totals
-from riverbed.operators.redelivery import batch_pairs, kept_deliveries, repeated_deliveries, single_deliveries, streamed_pairs
+from riverbed.operators.redelivery import batch_pairs, kept_deliveries, repeated_deliveries, single_deliveries, streamed_pairs, with_actions
 from riverbed.session import cut, read
 
 #: Share of all distinct actions from which a pool is reported.
@@ -29,11 +29,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_pool_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deliveries, distinct identifiers and the sum of finite amounts (in cents) of every pool."""
+    """Deliveries, distinct actions (linked as in p4) and the sum of finite amounts (in cents) of every pool."""
     actions = read(spark, sf_dir, "lp_actions").select(
-        clean_address("pool_address").alias("pool_address"), key_hash(clean_key("id")).alias("id"), "delivery_id", exact_cents("amount_usd").alias("cents")
+        "delivery_id", "id", clean_address("pool_address").alias("pool_address"), "block_number", "log_index", "ingested_at", exact_cents("amount_usd").alias("cents")
     )
-    return per_key_totals(actions, "pool_address", "id", ["delivery_id"], "cents").select("pool_address", "row_count", "item_count", F.col("amount_sum").cast("string").alias("cents"))
+    rows = with_actions(actions, ["pool_address", "delivery_id", "cents"])
+    return per_key_totals(rows, "pool_address", "action", ["delivery_id"], "cents").select("pool_address", "row_count", "item_count", F.col("amount_sum").cast("string").alias("cents"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,8 +37,8 @@ def configured(spark: SparkSession, conf: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def delivery_keys(df: DataFrame, *, id_col: str = "id", block_col: str = "block_number", log_col: str = "log_index", delivery_col: str = "delivery_id", arrived_col: str = "ingested_at") -> DataFrame:
-    """``(id_key, block, log, delivery, arrived)`` of each delivery.
+def delivery_keys(df: DataFrame, *, id_col: str = "id", block_col: str = "block_number", log_col: str = "log_index", delivery_col: str = "delivery_id", arrived_col: str = "ingested_at", also: list[str] | None = None) -> DataFrame:
+    """``(id_key, block, log, delivery, arrived, also...)`` of each delivery.
 
     A null or blank identifier, and a position with a null part, link nothing: the key is null.  A delivery with
     neither gets a key of its own, so that it stays single.  Rows without a delivery number cannot be told apart from
@@ -52,6 +52,7 @@ def delivery_keys(df: DataFrame, *, id_col: str = "id", block_col: str = "block_
         F.when(placed, F.col(log_col)).cast("int").alias("log"),
         F.col(delivery_col).cast("long").alias("delivery"),
         F.coalesce(F.col(arrived_col).cast("timestamp"), F.timestamp_seconds(F.lit(0))).alias("arrived"),
+        *(also or []),
     )
 
 
