@@ -14,9 +14,21 @@ def finite(c: Column | str) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
 
+#: Amounts of this size and more are beyond an exact sum of cents in 38 digits.
+BEYOND = 1e26
+
+
+def too_large(c: Column | str) -> Column:
+    """Whether a finite number is too large for ``exact_cents``; false for null, NaN and infinities."""
+    return F.coalesce(F.abs(finite(c)) >= BEYOND, F.lit(False))
+
+
 def exact_cents(c: Column | str) -> Column:
-    """A finite double below 1e26, in whole hundredths, as a decimal whose sums depend on no order."""
-    cents = F.rint(finite(c) * 100)
+    """A finite double below 1e26, in whole hundredths, as a decimal whose sums depend on no order.
+
+    Null for other numbers; ``too_large`` tells those that are finite, so that they can be reported.
+    """
+    cents = F.rint(F.when(~too_large(c), finite(c)) * 100)
     high = F.floor(cents / float(_LIMB))
     low = cents - high.cast("double") * float(_LIMB)
     return (high.cast("decimal(20,0)") * F.lit(_LIMB).cast("decimal(10,0)") + low.cast("long").cast("decimal(12,0)")).cast("decimal(36,0)")

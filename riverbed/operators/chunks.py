@@ -38,19 +38,20 @@ def number_rows(df: DataFrame, key: str, order: list[str], partitions: int | Non
     return numbered.withColumn("row_in_key", F.col("__place") + F.col("__shift")).drop("__part", "__p", "__key", "__place", "__shift")
 
 
-def per_key_totals(df: DataFrame, key: str, item: str, order: list[str] | None = None, amount: str | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``(key, row_count, item_count, amount_sum)``: rows, distinct non-null ``item`` and the sum of ``amount``.
+def per_key_totals(df: DataFrame, key: str, item: str, order: list[str] | None = None, amount: str | None = None, chunk_rows: int = CHUNK_ROWS, also: list[str] | None = None) -> DataFrame:
+    """``(key, row_count, item_count, amount_sum, also...)``: rows, distinct non-null ``item``, sums of ``amount`` and of ``also``.
 
     Items are counted as changes of ``item`` in the chunk's order, and a chunk that begins with the item that the
     chunk before ended with counts one less.  ``amount`` is a number or decimal column; nulls do not count, and a
     key without any amount has a null sum.  An empty table gives an empty result.
     """
-    narrow = df.select(F.col(key).alias("k"), F.col(item).alias("i"), *([F.col(amount).alias("a")] if amount else [F.lit(None).cast("double").alias("a")]), *[F.col(c).alias(f"o{n}") for n, c in enumerate(order or [])])
+    narrow = df.select(F.col(key).alias("k"), F.col(item).alias("i"), *([F.col(amount).alias("a")] if amount else [F.lit(None).cast("double").alias("a")]), *[F.col(c).alias(f"o{n}") for n, c in enumerate(order or [])], *[F.col(c).alias(f"x{n}") for n, c in enumerate(also or [])])
+    extra = [f"x{n}" for n in range(len(also or []))]
     chunked = number_rows(narrow, "k", ["i", *[f"o{n}" for n in range(len(order or []))]]).withColumn("chunk", F.floor(F.col("row_in_key") / chunk_rows))
     within = Window.partitionBy("k", "chunk").orderBy("row_in_key")
-    changed = chunked.select("k", "chunk", "i", "a", (F.col("i").isNotNull() & ~F.col("i").eqNullSafe(F.lag("i").over(within))).cast("long").alias("new"))
-    states = changed.groupBy("k", "chunk").agg(F.count("*").alias("n"), F.sum("new").alias("items"), F.sum("a").alias("total"), F.min("i").alias("first"), F.max("i").alias("last"))
+    changed = chunked.select("k", "chunk", "i", "a", *extra, (F.col("i").isNotNull() & ~F.col("i").eqNullSafe(F.lag("i").over(within))).cast("long").alias("new"))
+    states = changed.groupBy("k", "chunk").agg(F.count("*").alias("n"), F.sum("new").alias("items"), F.sum("a").alias("total"), F.min("i").alias("first"), F.max("i").alias("last"), *[F.sum(c).alias(c) for c in extra])
     seam = Window.partitionBy("k").orderBy("chunk")
-    merged = states.select("k", "n", "total", (F.col("items") - F.coalesce((F.col("first") == F.lag("last").over(seam)).cast("long"), F.lit(0))).alias("items"))
-    out = merged.groupBy("k").agg(F.sum("n").alias("row_count"), F.sum("items").alias("item_count"), F.sum("total").alias("amount_sum"))
+    merged = states.select("k", "n", "total", *extra, (F.col("items") - F.coalesce((F.col("first") == F.lag("last").over(seam)).cast("long"), F.lit(0))).alias("items"))
+    out = merged.groupBy("k").agg(F.sum("n").alias("row_count"), F.sum("items").alias("item_count"), F.sum("total").alias("amount_sum"), *[F.sum(x).alias(c) for x, c in zip(extra, also or [])])
     return out.withColumnRenamed("k", key)

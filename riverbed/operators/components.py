@@ -1,8 +1,13 @@
-"""Connected components by alternating large-star and small-star rounds.
+"""Connected components by contraction under changing orders.
 
-Every round rewires each vertex to the smallest vertex it knows, so the number of rounds grows with the logarithm
-of the longest chain.  A round is two pre-aggregated minima and joins back to the edge list; a vertex with very
-many neighbours is therefore reduced map-side and its joins are split by adaptive skew handling.
+In a round every vertex moves to the neighbour that comes first in that round's order, itself included; edges then join
+the places that their ends moved to, and what has become a loop or a copy is gone.  A component that has shrunk to one
+vertex has no edge left and takes no part in later rounds.  Even rounds order by the vertices themselves, which settles
+at once the stars around a least vertex that most components are; odd rounds take a random order, so that chains, too,
+get shorter by a constant share on average.  The moves are composed afterwards, last round first.
+
+The least neighbour is reduced map-side, so a vertex with very many neighbours is one row per partition, and the joins
+that move edges hold one row per vertex on one side and are split by adaptive skew handling on the other.
 """
 
 from __future__ import annotations
@@ -13,31 +18,35 @@ from pyspark.sql import functions as F
 from riverbed.session import cut
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+def _moves(edges: DataFrame, turn: int) -> DataFrame:
+    """``(vertex, place)`` of every vertex that an edge touches."""
+    both = edges.select(F.col("u").alias("vertex"), F.col("v").alias("other")).unionByName(edges.select(F.col("v").alias("vertex"), F.col("u").alias("other")))
+    order = (lambda c: F.xxhash64(F.lit(turn), c)) if turn % 2 else F.col
+    near = both.groupBy("vertex").agg(F.min_by("other", order("other")).alias("near"))
+    return near.select("vertex", F.when(order("vertex") < order("near"), F.col("vertex")).otherwise(F.col("near")).alias("place"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``(vertex, component)`` for every vertex that has an edge; the component is its smallest vertex.
 
     ``edges`` holds the long columns ``u`` and ``v``.  Rows with a null on either side and self loops link nothing
     and are left out.  An empty input gives an empty result.
     """
-    stars = cut(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    for _ in range(max_rounds):
-        stars = cut(_small_star(_large_star(stars)))
-        mark = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            return stars.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
-        before = mark
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    left = cut(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    rounds: list[DataFrame] = []
+    while left.limit(1).count():
+        if len(rounds) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        moved = cut(_moves(left, len(rounds)))
+        a, b = moved.select(F.col("vertex").alias("u"), F.col("place").alias("a")), moved.select(F.col("vertex").alias("v"), F.col("place").alias("b"))
+        rounds.append(moved)
+        left = cut(left.join(a, "u").join(b, "v").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if not rounds:
+        return left.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
+    found = rounds.pop()
+    while rounds:
+        # a place without an edge of its own in the next round is where its vertices stay
+        later = found.select(F.col("vertex").alias("place"), F.col("place").alias("last"))
+        found = cut(rounds.pop().join(later, "place", "left").select("vertex", F.coalesce("last", "place").alias("place")))
+    least = found.groupBy("place").agg(F.min("vertex").alias("component"))
+    return found.join(least, "place").select("vertex", "component")

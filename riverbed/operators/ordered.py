@@ -99,11 +99,14 @@ def first_per(df: DataFrame, key: list[str], order: list[str | Column]) -> DataF
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__rn = 1").drop("__rn")
 
 
-def conflicts(df: DataFrame, key: list[str], payload: list[str]) -> DataFrame:
+def conflicts(df: DataFrame, key: list[str], payload: list[str], first: tuple[str, list[str]] | None = None) -> DataFrame:
     """``(key..., copies, versions)`` of each key stored more than once; more than one version is a conflict.
 
-    Null is a value like others in the payload.
+    Null is a value like others in the payload.  ``first`` names a column and others that go with its least value: all
+    of them come out as they are in the row where it is least.
     """
     content = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in payload])
-    seen = df.groupBy(*key, content.alias("__content")).agg(F.count("*").alias("__n"))
-    return seen.groupBy(*key).agg(F.sum("__n").alias("copies"), F.count("*").alias("versions")).where("copies > 1")
+    row = [F.min(F.struct(first[0], *first[1])).alias("__row")] if first else []
+    seen = df.groupBy(*key, content.alias("__content")).agg(F.count("*").alias("__n"), *row)
+    both = seen.groupBy(*key).agg(F.sum("__n").alias("copies"), F.count("*").alias("versions"), *[F.min("__row").alias("__row") for _ in row]).where("copies > 1")
+    return both.select(*key, "copies", "versions", *(["__row.*"] if first else []))

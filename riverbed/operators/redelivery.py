@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from riverbed.functions.keys import key_hash
 from riverbed.operators.components import connected_components
+from riverbed.operators.ordered import first_per
 from riverbed.session import cut, fresh_path
-from riverbed.streaming.seen import add_late, delivery_keys, merged_registry, stream_registry
+from riverbed.streaming.ingest import pattern
+from riverbed.streaming.seen import delivery_keys, links, stream_links
+
+PAIR = ["id_key", "block", "log"]
 
 
 def _linked(pairs: DataFrame) -> DataFrame:
     """``(vertex, component)`` of the deliveries of pairs that share the identifier or the position with another pair."""
     by_id = pairs.where("id_key IS NOT NULL").groupBy("id_key").agg(F.count("*").alias("n"), F.min("delivery").alias("v")).where("n > 1").drop("n")
     by_place = pairs.where("block IS NOT NULL").groupBy("block", "log").agg(F.count("*").alias("n"), F.min("delivery").alias("v")).where("n > 1").drop("n")
-    edges = cut(
-        pairs.join(by_id, "id_key").select(F.col("delivery").alias("u"), "v").unionByName(pairs.join(by_place, ["block", "log"]).select(F.col("delivery").alias("u"), "v"))
-    )
+    edges = pairs.join(by_id, "id_key").select(F.col("delivery").alias("u"), "v").unionByName(pairs.join(by_place, ["block", "log"]).select(F.col("delivery").alias("u"), "v"))
     return connected_components(edges)
 
 
@@ -33,6 +35,17 @@ def kept_deliveries(pairs: DataFrame) -> DataFrame:
     return pairs.select("delivery").join(lost, "delivery", "left_anti")
 
 
+def single_actions(df: DataFrame, columns: list[str], **names: str) -> DataFrame:
+    """``columns`` of one row of each action of a table at rest, that of its first delivery.
+
+    The rows go through one shuffle by pair of identifiers, reduced before it; what other pairs of the same action hold
+    is then taken out by the few deliveries that components name.  Rows without a delivery number are left out.
+    """
+    lost = _linked(cut(batch_pairs(df, **names))).where("vertex <> component").select(F.col("vertex").alias("delivery"))
+    rows = delivery_keys(df, also=[F.struct(*columns).alias("row")], **names)
+    return first_per(rows, PAIR, ["delivery"]).join(lost, "delivery", "left_anti").select("row.*")
+
+
 def with_actions(df: DataFrame, also: list[str], **columns: str) -> DataFrame:
     """``(action, also...)`` of each row of ``df``: sixteen bytes that are alike for deliveries of one action only.
 
@@ -40,7 +53,7 @@ def with_actions(df: DataFrame, also: list[str], **columns: str) -> DataFrame:
     pairs are joined to the rows.  Rows without a delivery number have no action.
     """
     keyed = delivery_keys(df, also=also, **columns)
-    pairs = cut(keyed.groupBy("id_key", "block", "log").agg(F.min("delivery").alias("delivery")))
+    pairs = cut(keyed.groupBy(*PAIR).agg(F.min("delivery").alias("delivery")))
     linked = pairs.join(_linked(pairs), F.col("delivery") == F.col("vertex")).select(F.col("id_key").alias("__i"), F.col("block").alias("__b"), F.col("log").alias("__l"), "component")
     same = F.col("id_key").eqNullSafe(F.col("__i")) & F.col("block").eqNullSafe(F.col("__b")) & F.col("log").eqNullSafe(F.col("__l"))
     none = F.lit("")
@@ -50,24 +63,22 @@ def with_actions(df: DataFrame, also: list[str], **columns: str) -> DataFrame:
 
 
 def batch_pairs(df: DataFrame, **columns: str) -> DataFrame:
-    """The pairs of a table at rest, as the stream would leave them in its registry."""
-    return delivery_keys(df, **columns).groupBy("id_key", "block", "log").agg(F.min("delivery").alias("delivery"))
+    """The pairs of identifiers of a table at rest, each with its first delivery."""
+    return delivery_keys(df, **columns).groupBy(*PAIR).agg(F.min("delivery").alias("delivery"))
 
 
-def streamed_pairs(spark: SparkSession, path: str, *, retention: str = "7 days", batch_bytes: int = 1 << 30, files: int | None = None, **columns: str) -> DataFrame:
-    """The pairs of a Parquet feed at ``path``, read as a stream through the state of seen identifiers.
+def streamed_repeats(spark: SparkSession, path: str, *, registry: str | None = None, checkpoint: str | None = None, files: int | None = None, batch_bytes: int = 1 << 30, **options) -> DataFrame:
+    """``delivery`` of every delivery of a Parquet feed at ``path`` that is not the first of its action, each once.
 
-    Late rows that the watermark keeps out of the state are looked up in the registry and added, so the result is
-    that of ``batch_pairs`` however small ``retention`` is and in whatever order the files come.
+    The feed runs through the keyed state of identifiers (see ``streaming.seen``), each row once: with the same
+    ``registry`` and ``checkpoint`` a later call reads the files that have come since, and its result holds for all that
+    was ever read.  Both are new folders where they are not given.  The links that the state tells of are all that is
+    left to chain; a delivery that nothing links is kept.  A row stored twice under one number repeats nothing.
     """
-    at_rest = spark.read.parquet(path)
-    reader = spark.readStream.schema(at_rest.schema).option("maxBytesPerTrigger" if files is None else "maxFilesPerTrigger", str(batch_bytes if files is None else files))
-    registry = fresh_path(spark, "registry")
-    spark.createDataFrame([], "id_key binary, block long, log int, delivery long").write.parquet(f"{registry}/batch=-2")
-    pattern = f"{path[:-1]}[{path[-1]}]"  # a pattern, since a stream refuses the plain path of a single file
-    if not stream_registry(reader.parquet(pattern), registry, fresh_path(spark, "seen"), retention=retention, **columns):
-        add_late(at_rest, registry, **columns)
-    return merged_registry(spark, registry)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger" if files is None else "maxFilesPerTrigger", str(batch_bytes if files is None else files))
+    registry = registry or fresh_path(spark, "registry")
+    stream_links(reader.parquet(pattern(path)), registry, checkpoint or fresh_path(spark, "seen"), **options)
+    return connected_components(links(spark, registry)).where("vertex <> component").select(F.col("vertex").alias("delivery"))
 
 
 def repeated_deliveries(df: DataFrame, kept: DataFrame, delivery_col: str = "delivery_id") -> DataFrame:
@@ -78,3 +89,8 @@ def repeated_deliveries(df: DataFrame, kept: DataFrame, delivery_col: str = "del
 def single_deliveries(df: DataFrame, kept: DataFrame, delivery_col: str = "delivery_id") -> DataFrame:
     """The rows of ``df`` that are kept, with all their columns; a row stored twice under one number comes out once."""
     return df.join(kept.select(F.col("delivery").alias(delivery_col)), delivery_col, "left_semi").dropDuplicates([delivery_col])
+
+
+def without_repeats(df: DataFrame, repeats: DataFrame, delivery_col: str = "delivery_id") -> DataFrame:
+    """The rows of ``df`` whose delivery is none of ``repeats``; a row stored twice under one number comes out once."""
+    return df.where(F.col(delivery_col).isNotNull()).join(repeats.select(F.col("delivery").alias(delivery_col)), delivery_col, "left_anti").dropDuplicates([delivery_col])

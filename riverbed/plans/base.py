@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riverbed.functions.keys import clean_address, clean_key
 from riverbed.operators.ordered import first_per
+from riverbed.operators.redelivery import single_actions
 from riverbed.session import read
 
 BLANK = r"E' \t\r\n'"
@@ -22,17 +23,32 @@ def address_sql(c: str) -> str:
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per identifier, its first delivery, in canonical spelling; an empty address is null."""
+    """One row per action, its first delivery, in canonical spelling; an empty address is null.
+
+    Deliveries are of one action if they share the id or the place in the chain, directly or over others.
+    """
     rows = read(spark, sf_dir, "lp_actions").select(
         clean_key("id").alias("id"), "delivery_id", clean_address("pool_address").alias("pool"), "action_type", "block_number", "log_index",
-        clean_address("owner").alias("owner"), "tick_lower", "tick_upper", F.col("liquidity_delta").cast("decimal(38,0)").alias("delta"), "amount_usd",
+        clean_address("owner").alias("owner"), F.when(F.col("owner").isNotNull() & clean_key("owner").isNull(), F.lit(True)).alias("unnamed"),
+        "tick_lower", "tick_upper", F.col("liquidity_delta").cast("decimal(38,0)").alias("delta"), "amount_usd",
     )
-    return first_per(rows, ["id"], ["delivery_id"])
+    return single_actions(rows, rows.columns)
+
 
+#: Of every delivery ``v`` the first delivery ``r`` of its action, in the table ``first``.
+LINKS = f"""d AS (SELECT delivery_id AS v, {key_sql('id')} AS i, block_number AS b, log_index AS l FROM lp_actions),
+hops AS (
+  SELECT x.v AS u, y.v AS v FROM d x JOIN d y ON x.i = y.i AND x.v <> y.v
+  UNION SELECT x.v, y.v FROM d x JOIN d y ON x.b = y.b AND x.l = y.l AND x.v <> y.v),
+reach AS (
+  SELECT v, v AS r FROM d
+  UNION SELECT hops.v, reach.r FROM reach JOIN hops ON hops.u = reach.v),
+first AS (SELECT v, min(r) AS r FROM reach GROUP BY v)"""
 
-ACTIONS = f"""actions AS (SELECT {key_sql('id')} AS id, delivery_id, {address_sql('pool_address')} AS pool, action_type, block_number, log_index,
-  {address_sql('owner')} AS owner, tick_lower, tick_upper, CAST(liquidity_delta AS HUGEINT) AS delta, amount_usd
-  FROM lp_actions QUALIFY row_number() OVER (PARTITION BY {key_sql('id')} ORDER BY delivery_id) = 1)"""
+ACTIONS = LINKS + f""",
+actions AS (SELECT {key_sql('id')} AS id, delivery_id, {address_sql('pool_address')} AS pool, action_type, block_number, log_index,
+  {address_sql('owner')} AS owner, CASE WHEN owner IS NOT NULL AND {key_sql('owner')} IS NULL THEN true END AS unnamed, tick_lower, tick_upper, CAST(liquidity_delta AS HUGEINT) AS delta, amount_usd
+  FROM lp_actions JOIN first ON v = delivery_id AND v = r)"""
 
 
 def swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +93,4 @@ IMPACTS = f"""impacts AS (SELECT impact_id, snapshot_index, {address_sql('pool_a
 
 def sql(*parts: str) -> str:
     """A statement of common tables and, last, the query over them."""
-    return "WITH " + ",\n".join(parts[:-1]) + "\n" + parts[-1]
+    return "WITH RECURSIVE " + ",\n".join(parts[:-1]) + "\n" + parts[-1]

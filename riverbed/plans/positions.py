@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riverbed.functions.bigint import sum_limbs, text_of
-from riverbed.functions.keys import clean_address, clean_key
 from riverbed.functions.scalars import location, log1p_of, outside, ratio
-from riverbed.operators.ordered import first_per, running_totals
+from riverbed.operators.ordered import running_totals
 from riverbed.operators.stats import pearson
-from riverbed.plans.base import ACTIONS, BLANK, IMPACTS, SNAPSHOTS, actions, address_sql, impacts, key_sql, snapshots, sql
-from riverbed.session import cut, read
+from riverbed.plans.base import ACTIONS, IMPACTS, SNAPSHOTS, actions, impacts, snapshots, sql
+from riverbed.session import cut
 
 #: Positions reported per pool; shares of liquidity that a prefix must cover; closeness of near ties, and how many.
 TOP, COVER, GAP, TIES, ALL_TIES = 20, 0.95, 0.05, 5, 50
@@ -26,12 +25,8 @@ def active_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A missing and an empty owner are grouped apart; both are called unknown.
     """
-    rows = read(spark, sf_dir, "lp_actions").select(
-        clean_key("id").alias("id"), "delivery_id", clean_address("pool_address").alias("pool"), F.when(F.col("owner").isNotNull(), F.coalesce(clean_address("owner"), F.lit(""))).alias("owner"),
-        "tick_lower", "tick_upper", F.col("liquidity_delta").cast("decimal(38,0)").alias("delta"), "block_number",
-    )
     now = snapshots(spark, sf_dir).where("tick IS NOT NULL").groupBy("pool").agg(F.max_by("tick", "block_number").alias("tick"), F.max("block_number").alias("through"))
-    live = first_per(rows, ["id"], ["delivery_id"]).join(now, "pool").where("block_number <= through AND tick_lower <= tick AND tick < tick_upper")
+    live = actions(spark, sf_dir).withColumn("owner", F.when(F.col("unnamed"), F.lit("")).otherwise(F.col("owner"))).join(now, "pool").where("block_number <= through AND tick_lower <= tick AND tick < tick_upper")
     held = live.groupBy("pool", "owner", "tick_lower", "tick_upper").agg(F.sum("delta").alias("liquidity")).where("liquidity > 0").withColumn("name", F.coalesce(F.nullif("owner", F.lit("")), F.lit("unknown")))
     place = F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("liquidity"), "name", "tick_lower", "tick_upper", "owner"))
     return held.withColumn("place", place).where(F.col("place") <= TOP).select("pool", "place", F.col("name").alias("owner"), "tick_lower", "tick_upper", F.col("liquidity").cast("string").alias("liquidity"))
@@ -179,8 +174,7 @@ _LOCATED = "CASE WHEN current_tick < tick_lower THEN 'below_current_tick' WHEN c
 _NOW = "now AS (SELECT pool, max(block_number) AS through, arg_max(tick, block_number) AS tick, arg_max(active_liquidity, block_number) AS recorded FROM snaps WHERE tick IS NOT NULL GROUP BY 1)"
 
 ORACLE = {
-    "active_positions": sql(SNAPSHOTS, _NOW, f"""a AS (SELECT {address_sql('pool_address')} AS pool, CASE WHEN owner IS NOT NULL THEN coalesce({address_sql('owner')}, '') END AS owner, tick_lower, tick_upper, CAST(liquidity_delta AS HUGEINT) AS delta, block_number
-  FROM lp_actions QUALIFY row_number() OVER (PARTITION BY {key_sql('id')} ORDER BY delivery_id) = 1),
+    "active_positions": sql(ACTIONS, SNAPSHOTS, _NOW, f"""a AS (SELECT pool, CASE WHEN unnamed THEN '' ELSE owner END AS owner, tick_lower, tick_upper, delta, block_number FROM actions),
 h AS (SELECT pool, owner, tick_lower, tick_upper, sum(delta) AS liquidity, coalesce(nullif(owner, ''), 'unknown') AS name FROM a JOIN now USING (pool) WHERE block_number <= through AND tick_lower <= tick AND tick < tick_upper GROUP BY 1, 2, 3, 4 HAVING sum(delta) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY liquidity DESC, name, tick_lower, tick_upper, owner NULLS FIRST) AS place FROM h)""", f"SELECT pool, place, name AS owner, tick_lower, tick_upper, CAST(liquidity::HUGEINT AS VARCHAR) AS liquidity FROM r WHERE place <= {TOP}"),
     "range_liquidity": sql(ACTIONS, "r AS (SELECT *, sum(delta) OVER (PARTITION BY pool, tick_lower, tick_upper ORDER BY block_number, log_index, id ROWS UNBOUNDED PRECEDING) - delta AS before FROM actions)", "SELECT id, CAST(before::HUGEINT AS VARCHAR) AS before, round(CASE WHEN before > 0 THEN CAST(-delta AS DOUBLE) / CAST(before AS DOUBLE) ELSE 0 END, 9) AS removed FROM r WHERE action_type = 2"),

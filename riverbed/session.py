@@ -14,14 +14,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one of this process only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where none is set, a temporary one, but only under a local master: the executors of a cluster would each write to
+    a disk of their own, so there it raises ValueError.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(named)
         return named
-    own = f"file://{tempfile.mkdtemp(prefix='riverbed-')}"
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     sc.setCheckpointDir(own)
     return sc.getCheckpointDir() or own
 
@@ -32,7 +38,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared folder: a short lineage that survives lost executors."""
+    """``df`` computed once and read back from the shared folder: a short lineage that survives lost executors.
+
+    Where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, Spark deletes the files once nothing refers to
+    the result any more.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

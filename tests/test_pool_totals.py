@@ -8,7 +8,7 @@ from riverbed.plans.deliveries import p1_pool_totals
 
 from test_redelivery import brute, feed
 
-SCHEMA = "delivery_id long, id string, block_number long, log_index int, ingested_at timestamp, pool_address string, amount_usd double"
+SCHEMA = "delivery_id long, id string, block_number long, log_index int, block_timestamp timestamp, pool_address string, amount_usd double"
 
 
 def totals(spark, tmp_path, rows):
