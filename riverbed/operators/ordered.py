@@ -7,29 +7,66 @@ partitions; as-of joins and look-around cut the position (a block number) into b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverbed.session import cut, shuffle_partitions
 
 
-def running_totals(df: DataFrame, key: list[str], order: list[str], amounts: list[str], suffix: str = "_upto") -> DataFrame:
+def running_totals(df: DataFrame, key: list[str], order: list[str], amounts: list[str], suffix: str = "_upto", how: Callable[..., Column] = F.sum, also_max: list[str] | None = None) -> DataFrame:
     """``df`` with ``<amount>_upto``: the sum within ``key`` up to and with each row in the order of ``order``.
 
-    Null amounts count as 0; a null key is a key like others.  Rows that ``order`` does not tell apart are summed in
-    any order.
+    ``how`` may be ``F.max`` for the greatest value so far instead; ``also_max`` names columns of which the greatest value
+    so far comes out besides sums.  Null amounts count as 0 in sums and not at all in maxima; a null key is a key like
+    others.  Rows that ``order`` does not tell apart are taken in any order.
     """
+    wanted = [(a, how) for a in amounts] + [(a, F.max) for a in also_max or []]
+    value = lambda a, f: F.coalesce(F.col(a), F.lit(0)) if f is F.sum else F.col(a)
     laid = cut(df.repartitionByRange(2 * shuffle_partitions(df.sparkSession), *key, *order).withColumn("__part", F.spark_partition_id()))
-    totals = laid.groupBy("__part", *key).agg(*[F.sum(F.coalesce(F.col(a), F.lit(0))).alias(f"__s{i}") for i, a in enumerate(amounts)])
+    totals = laid.groupBy("__part", *key).agg(*[f(value(a, f)).alias(f"__s{i}") for i, (a, f) in enumerate(wanted)])
     before = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], *[F.coalesce(F.sum(f"__s{i}").over(before), F.lit(0)).alias(f"__b{i}") for i in range(len(amounts))])
+    offsets = totals.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], *[f(f"__s{i}").over(before).alias(f"__b{i}") for i, (_, f) in enumerate(wanted)])
     here = Window.partitionBy("__part", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = laid.withColumns({f"__h{i}": F.sum(F.coalesce(F.col(a), F.lit(0))).over(here) for i, a in enumerate(amounts)})
+    rows = laid.withColumns({f"__h{i}": f(value(a, f)).over(here) for i, (a, f) in enumerate(wanted)})
     on = F.col("__part") == F.col("__p")
     for i, k in enumerate(key):
         on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = rows.join(offsets, on).withColumns({f"{a}{suffix}": F.col(f"__h{i}") + F.col(f"__b{i}") for i, a in enumerate(amounts)})
-    return joined.select(*df.columns, *[f"{a}{suffix}" for a in amounts])
+    whole = {f"{a}{suffix}": F.col(f"__h{i}") + F.coalesce(F.col(f"__b{i}"), F.lit(0)) if f is F.sum else F.greatest(f"__h{i}", f"__b{i}") for i, (a, f) in enumerate(wanted)}
+    return rows.join(offsets, on).withColumns(whole).select(*df.columns, *whole)
+
+
+def range_extremes(df: DataFrame, key: str, number: str, values: list[str], asked: DataFrame, first: str, last: str, block: int = 64) -> DataFrame:
+    """``asked`` with ``<value>_least`` and ``<value>_most`` over the rows of its key numbered ``first`` to ``last``.
+
+    ``df`` numbers the rows of each key 0, 1, 2, ...; ``asked`` has a column ``key`` too and may ask for any ranges, also
+    overlapping and very long ones.  Rows of ``block`` numbers lie in one array each; over the blocks there is a row per
+    block and power of two with the extremes of so many blocks from there on.  A range is at most two pieces of blocks
+    and two powers that overlap, so each asked row becomes at most four look-ups.  Null where the range is empty or null.
+    """
+    low, high = [f"__lo{i}" for i in range(len(values))], [f"__hi{i}" for i in range(len(values))]
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(number).alias("__n"), *[F.col(v).alias(f"__v{i}") for i, v in enumerate(values)])
+    ends_of = [x for i in range(len(values)) for x in (F.min(f"__v{i}").alias(low[i]), F.max(f"__v{i}").alias(high[i]))]
+    blocks = cut(rows.groupBy("__k", F.floor(F.col("__n") / block).alias("__at")).agg(F.collect_list(F.struct("__n", *[f"__v{i}" for i in range(len(values))])).alias("__r"), *ends_of))
+    ids = cut(asked.withColumn("__id", F.monotonically_increasing_id()))
+    a, b = F.floor(F.col(first) / block), F.floor(F.col(last) / block)
+    spans = ids.where(F.col(key).isNotNull() & (F.col(first) <= F.col(last))).select("__id", F.col(key).alias("__k"), F.col(first).alias("__f"), F.col(last).alias("__l"), a.alias("__a"), b.alias("__b"))
+    widest = spans.agg(F.max(F.col("__b") - F.col("__a") - 1)).first()[0] or 0
+    ends = spans.select("__id", "__k", "__f", "__l", F.explode(F.array_distinct(F.array("__a", "__b"))).alias("__at"))
+    own = F.filter("__r", lambda r: (r["__n"] >= F.col("__f")) & (r["__n"] <= F.col("__l"))).alias("__own")
+    pieces = ends.join(blocks.select("__k", "__at", "__r"), ["__k", "__at"]).select("__id", own)
+    found = pieces.select("__id", *[f(F.col(f"__own.__v{i}")).alias(names[i]) for i in range(len(values)) for f, names in ((F.array_min, low), (F.array_max, high))])
+    level, size = blocks.drop("__r"), 1
+    inner = spans.withColumn("__w", F.col("__b") - F.col("__a") - 1).where("__w > 0")
+    while size <= widest:
+        due = inner.where((F.col("__w") >= size) & (F.col("__w") < 2 * size)).select("__id", "__k", F.explode(F.array_distinct(F.array(F.col("__a") + 1, F.col("__b") - size))).alias("__at"))
+        found = found.unionByName(due.join(level, ["__k", "__at"]).select("__id", *[c for p in zip(low, high) for c in p]))
+        later = level.select("__k", (F.col("__at") - size).alias("__at"), *[F.col(c).alias(f"{c}_") for c in low + high])
+        level = cut(level.join(later, ["__k", "__at"], "left").select("__k", "__at", *[F.least(c, f"{c}_").alias(c) for c in low], *[F.greatest(c, f"{c}_").alias(c) for c in high]))
+        size *= 2
+    best = found.groupBy("__id").agg(*[x for i, v in enumerate(values) for x in (F.min(low[i]).alias(f"{v}_least"), F.max(high[i]).alias(f"{v}_most"))])
+    return ids.join(best, "__id", "left").drop("__id")
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, position: str, payload: str, width: int = 4096, out: str = "state") -> DataFrame:

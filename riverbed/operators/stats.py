@@ -1,7 +1,8 @@
 """Statistics over skewed keys: ranks, percentiles, correlations, concentration, balance, tests, resampling.
 
-Whatever needs a key's values in order takes the exact row numbers of ``number_rows``; whatever resamples adds up
-partial sums per partition.  No key is ever gathered in one task.
+Whatever needs a key's values in order works on distinct values with their counts, so that neither a key nor one value
+that very many rows share is gathered in one task; ranks are running totals of the counts.  Whatever resamples adds up
+partial sums per partition.
 """
 
 from __future__ import annotations
@@ -12,19 +13,24 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riverbed.operators.chunks import number_rows
+from riverbed.operators.ordered import running_totals
 from riverbed.session import cut, shuffle_partitions
 
 
+def _counted(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, value, copies, upper)`` per distinct value that is not null: its count and that of values up to it."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("copies"))
+    return running_totals(counts, [key], [value], ["copies"]).withColumnRenamed("copies_upto", "upper")
+
+
 def average_ranks(df: DataFrame, key: str, value: str) -> DataFrame:
     """``(key, value, rank, upper, copies)`` per distinct value: its 1-based average rank, highest rank and count."""
-    numbered = number_rows(df.where(F.col(value).isNotNull()).select(key, value), key, [value])
-    runs = numbered.groupBy(key, value).agg(F.min("row_in_key").alias("lo"), F.max("row_in_key").alias("hi"), F.count("*").alias("copies"))
-    return runs.select(key, value, ((F.col("lo") + F.col("hi")) / 2 + 1).alias("rank"), (F.col("hi") + 1).alias("upper"), "copies")
+    return _counted(df, key, value).select(key, value, (F.col("upper") - (F.col("copies") - 1) / 2).alias("rank"), "upper", "copies")
 
 
 def percentile_of_value(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -36,15 +42,16 @@ def percentile_of_value(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def interpolated_percentiles(df: DataFrame, key: str, value: str, parts: list[float]) -> DataFrame:
     """``(key, n, q0, q1, ...)``: percentiles by linear interpolation between ranks, exact; nulls do not count."""
-    numbered = number_rows(df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v")), key, ["v"])
-    n = numbered.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("n"))
-    rows = numbered.join(n, F.col(key).eqNullSafe(F.col("__k")))
+    counted = _counted(df.select(key, F.col(value).cast("double").alias("v")), key, "v")
+    n = counted.groupBy(F.col(key).alias("__k")).agg(F.sum("copies").alias("n"))
+    rows = counted.join(n, F.col(key).eqNullSafe(F.col("__k")))
     places = [(F.col("n") - 1) * p for p in parts]
-    wanted = reduce(lambda a, b: a | b, [(F.col("row_in_key") == F.floor(p)) | (F.col("row_in_key") == F.ceil(p)) for p in places])
+    holds = lambda at: (at < F.col("upper")) & (at >= F.col("upper") - F.col("copies"))
+    wanted = reduce(lambda a, b: a | b, [holds(F.floor(p)) | holds(F.ceil(p)) for p in places])
 
     def pick(p: Column) -> Column:
-        low = F.max(F.when(F.col("row_in_key") == F.floor(p), F.col("v")))
-        high = F.max(F.when(F.col("row_in_key") == F.ceil(p), F.col("v")))
+        low = F.max(F.when(holds(F.floor(p)), F.col("v")))
+        high = F.max(F.when(holds(F.ceil(p)), F.col("v")))
         return low + (high - low) * F.max(p - F.floor(p))
 
     return rows.where(wanted).groupBy(key, "n").agg(*[pick(p).alias(f"q{i}") for i, p in enumerate(places)])
@@ -69,9 +76,9 @@ def spearman(df: DataFrame, key: str, x: str, y: str, empty: float | None = 0.0)
 
 def concentration(df: DataFrame, key: str, value: str) -> DataFrame:
     """``(key, n, total, hhi, effective, gini)`` of the values that are not negative; 0 where their sum is 0."""
-    rows = df.where(F.col(value) >= 0).select(key, F.col(value).cast("double").alias("v"))
-    numbered = number_rows(rows, key, ["v"])
-    a = numbered.groupBy(key).agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("squares"), F.sum(F.col("v") * (F.col("row_in_key") + 1)).alias("weighted"))
+    rows = _counted(df.where(F.col(value) >= 0).select(key, F.col(value).cast("double").alias("v")), key, "v")
+    v, m = F.col("v"), F.col("copies")
+    a = rows.groupBy(key).agg(F.sum("copies").alias("n"), F.sum(v * m).alias("total"), F.sum(v * v * m).alias("squares"), F.sum(v * m * (F.col("upper") - (m - 1) / 2)).alias("weighted"))
     some = F.col("total") > 0
     hhi = F.when(some, F.col("squares") / (F.col("total") * F.col("total"))).otherwise(F.lit(0.0))
     gini = F.when(some, 2 * F.col("weighted") / (F.col("n") * F.col("total")) - (F.col("n") + 1) / F.col("n")).otherwise(F.lit(0.0))
@@ -95,10 +102,12 @@ def smd(value: Column, treated: Column, edge: str = "zero") -> Column:
 
 def holm(df: DataFrame, family: list[str], p: str, order: list[str]) -> DataFrame:
     """``df`` with ``p_holm``: step-down adjusted p-values within each family of tests."""
-    w = Window.partitionBy(*family)
-    ranked = w.orderBy(p, *order)
-    step = (F.count("*").over(w) - F.row_number().over(ranked) + 1) * F.col(p)
-    return df.withColumn("__step", step).withColumn("p_holm", F.least(F.lit(1.0), F.max("__step").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))).drop("__step")
+    rows = df.withColumn("__family", F.struct(*family))
+    n = rows.groupBy(F.col("__family").alias("__f")).agg(F.count("*").alias("__n"))
+    placed = number_rows(rows, "__family", [p, *order]).join(n, F.col("__family") == F.col("__f"))
+    steps = placed.withColumn("__step", (F.col("__n") - F.col("row_in_key")) * F.col(p))
+    most = running_totals(steps, ["__family"], ["row_in_key"], ["__step"], how=F.max)
+    return most.select(*df.columns, F.least(F.lit(1.0), "__step_upto").alias("p_holm"))
 
 
 @F.pandas_udf(T.DoubleType())

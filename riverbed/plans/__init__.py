@@ -1,5 +1,5 @@
 """Named queries over the given tables, each module with ``QUERIES`` and ``ORACLE``."""
 
-from riverbed.plans import checks, deliveries, events, positions, simulation, statistics, streams, study
+from riverbed.plans import checks, deliveries, depths, events, flows, positions, statistics, streams, study
 
-ALL = [checks, deliveries, events, positions, simulation, statistics, streams, study]
+ALL = [checks, deliveries, depths, events, flows, positions, statistics, streams, study]

@@ -80,13 +80,13 @@ def impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = [F.col(c).cast("double").alias(c.replace("_lsis_bps", "")) for c in ("zero_for_one_lsis_bps", "one_for_zero_lsis_bps", "total_lsis_bps")]
     rows = read(spark, sf_dir, "position_impacts").select(
         "impact_id", "snapshot_index", clean_address("pool_address").alias("pool"), "block_number", "current_tick", clean_key("position_key").alias("key"), "tick_lower", "tick_upper",
-        F.col("position_liquidity").cast("decimal(38,0)").alias("liquidity"), F.col("active_liquidity_share").alias("share"), "range_width", "distance_to_nearest_edge", *d,
+        F.col("position_liquidity").cast("decimal(38,0)").alias("liquidity"), F.col("active_liquidity_share").alias("share"), "range_width", "distance_to_lower_tick", "distance_to_upper_tick", "distance_to_nearest_edge", *d,
     )
     return first_per(rows, ["pool", "snapshot_index", "key"], ["impact_id"])
 
 
 IMPACTS = f"""impacts AS (SELECT impact_id, snapshot_index, {address_sql('pool_address')} AS pool, block_number, current_tick, {key_sql('position_key')} AS key, tick_lower, tick_upper,
-  CAST(position_liquidity AS HUGEINT) AS liquidity, active_liquidity_share AS share, range_width, distance_to_nearest_edge,
+  CAST(position_liquidity AS HUGEINT) AS liquidity, active_liquidity_share AS share, range_width, distance_to_lower_tick, distance_to_upper_tick, distance_to_nearest_edge,
   CAST(zero_for_one_lsis_bps AS DOUBLE) AS zero_for_one, CAST(one_for_zero_lsis_bps AS DOUBLE) AS one_for_zero, CAST(total_lsis_bps AS DOUBLE) AS total
   FROM position_impacts QUALIFY row_number() OVER (PARTITION BY {address_sql('pool_address')}, snapshot_index, {key_sql('position_key')} ORDER BY impact_id) = 1)"""
 

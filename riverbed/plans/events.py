@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from riverbed.functions.keys import clean_address, clean_key
 from riverbed.functions.scalars import SPACING, direction, seeded_score, slug, spacing_of
 from riverbed.operators.chunks import number_rows
-from riverbed.operators.ordered import asof, conflicts, first_per, haloed, neighbours
+from riverbed.operators.ordered import asof, conflicts, first_per, neighbours
 from riverbed.plans.base import ACTIONS, SNAPSHOTS, SWAPS, actions, address_sql, key_sql, snapshots, sql, swaps
 from riverbed.session import cut, read
 
-#: Blocks after a burn over which flows are summed; blocks that must be free around a quiet one; blocks not yet safe.
-HORIZON, QUIET, CONFIRMATIONS = 20, 25, 20
+#: Blocks that must be free around a quiet one; blocks not yet safe.
+QUIET, CONFIRMATIONS = 25, 20
 #: Rows of a page; spacing, reach and number of scheduled snapshots; spacing of control candidates.
 PAGE, STEP, LOOKBACK, MOST, STRIDE = 1000, 10_000, 300_000, 30, 1500
 
@@ -66,27 +66,6 @@ def asof_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof(a, known, "pool", "block_number", "snapshot").select("id", F.col("state.block_number").alias("snapshot_block"), F.col("state.active_liquidity").alias("active_liquidity"))
 
 
-def flow_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What happened in a pool after each burn and up to 20 blocks on: events, volumes, liquidity, path of the tick."""
-    events = cut(_timeline(spark, sf_dir))
-    place = F.struct("block_number", "log_index").alias("place")
-    width = 256
-    later = haloed(events.select("pool", "block_number", "log_index", "kind", "delta", "amount0", "amount1", "tick_after"), "pool", "block_number", width, ahead=HORIZON).withColumn("place", place).drop("own")
-    burns = events.where("kind = 'burn'").select("id", "pool", F.floor(F.col("block_number") / width).alias("bucket"), place.alias("burn"))
-    inside = burns.join(later, ["pool", "bucket"]).where((F.col("place") > F.col("burn")) & (F.col("block_number") <= F.col("burn.block_number") + HORIZON))
-    is_swap = F.col("kind") == "swap"
-    # the path runs over swaps only: consecutive ticks in one array, ordered by place
-    agg = inside.groupBy("id").agg(
-        F.count_if(is_swap).alias("swaps"), F.count_if(F.col("kind") == "mint").alias("mints"), F.count_if(F.col("kind") == "burn").alias("burns"),
-        F.sum(F.when(F.col("amount0") > 0, F.col("amount0"))).alias("in0"), F.sum(F.when(F.col("amount1") > 0, F.col("amount1"))).alias("in1"), F.sum("delta").alias("net"),
-        F.min("tick_after").alias("tick_min"), F.max("tick_after").alias("tick_max"), F.array_sort(F.collect_list(F.when(is_swap, F.struct("place", "tick_after")))).alias("path"),
-    )
-    steps = F.aggregate(F.arrays_zip(F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))), F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))), F.lit(0).cast("long"), lambda t, x: t + F.abs(x["0"]["tick_after"] - x["1"]["tick_after"]))
-    out = burns.select("id").join(agg, "id", "left")
-    text = lambda c: F.coalesce(F.col(c), F.lit(0).cast("decimal(38,0)")).cast("string").alias(c)
-    return out.select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("swaps", "mints", "burns")], text("in0"), text("in1"), text("net"), "tick_min", "tick_max", F.coalesce(steps, F.lit(0)).alias("tick_variation"))
-
-
 def clean_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actions of the same pool and block before each burn; none means a clean start."""
     a = actions(spark, sf_dir)
@@ -161,9 +140,9 @@ def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("id", seeded_score(20260725, F.concat_ws(":", "pool", "block_number", "log_index")).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (pool_dimension, action_rows, swap_rows, swap_conflicts, first_swap_per_block, event_timeline, asof_snapshot, flow_windows, clean_starts, coverage, burn_pages, snapshot_schedule, quiet_burns, control_candidates, confirmed, latest_snapshot, source_slugs, seeded_order)}
+QUERIES = {f.__name__: f for f in (pool_dimension, action_rows, swap_rows, swap_conflicts, first_swap_per_block, event_timeline, asof_snapshot, clean_starts, coverage, burn_pages, snapshot_schedule, quiet_burns, control_candidates, confirmed, latest_snapshot, source_slugs, seeded_order)}
 
-_EVENTS = """events AS (SELECT pool, block_number, log_index, CASE WHEN action_type = 1 THEN 'mint' ELSE 'burn' END AS kind, id, delta, NULL::HUGEINT AS amount0, NULL::HUGEINT AS amount1, NULL::INT AS tick_after FROM actions
+EVENTS = """events AS (SELECT pool, block_number, log_index, CASE WHEN action_type = 1 THEN 'mint' ELSE 'burn' END AS kind, id, delta, NULL::HUGEINT AS amount0, NULL::HUGEINT AS amount1, NULL::INT AS tick_after FROM actions
   UNION ALL SELECT pool, block_number, log_index, 'swap', id, NULL, amount0, amount1, tick_after FROM swapped)"""
 _SPACING = "CASE fee_tier " + " ".join(f"WHEN {k} THEN {v}" for k, v in SPACING.items()) + " END"
 
@@ -176,12 +155,8 @@ v AS (SELECT *, CASE direction WHEN 'zero_for_one' THEN amount0 WHEN 'one_for_ze
     "swap_conflicts": f"""SELECT {address_sql('pool_address')} AS pool, block_number, log_index, count(*) AS copies, count(DISTINCT concat_ws('|', coalesce(tx_hash, '~'), coalesce(amount0_raw, '~'), coalesce(amount1_raw, '~'), coalesce(sqrt_price_x96, '~'), coalesce(CAST(tick_after AS VARCHAR), '~'))) AS versions
 FROM swaps GROUP BY ALL HAVING count(*) > 1""",
     "first_swap_per_block": sql(SWAPS, "SELECT pool, block_number, log_index, id FROM swapped QUALIFY row_number() OVER (PARTITION BY pool, block_number ORDER BY log_index) = 1"),
-    "event_timeline": sql(ACTIONS, SWAPS, _EVENTS, "SELECT pool, block_number, log_index, kind, id, row_number() OVER (PARTITION BY pool ORDER BY block_number, log_index, kind, id) - 1 AS event_no FROM events"),
+    "event_timeline": sql(ACTIONS, SWAPS, EVENTS, "SELECT pool, block_number, log_index, kind, id, row_number() OVER (PARTITION BY pool ORDER BY block_number, log_index, kind, id) - 1 AS event_no FROM events"),
     "asof_snapshot": sql(ACTIONS, SNAPSHOTS, "SELECT a.id, s.block_number AS snapshot_block, s.active_liquidity FROM actions a ASOF LEFT JOIN snaps s ON a.pool = s.pool AND a.block_number >= s.block_number"),
-    "flow_windows": sql(ACTIONS, SWAPS, _EVENTS, f"""j AS (SELECT b.id, e.kind, e.delta, e.amount0, e.amount1, e.tick_after, CASE WHEN e.kind = 'swap' THEN abs(e.tick_after - lag(e.tick_after) OVER (PARTITION BY b.id, e.kind ORDER BY e.block_number, e.log_index)) END AS step
-  FROM events b JOIN events e ON e.pool = b.pool AND (e.block_number, e.log_index) > (b.block_number, b.log_index) AND e.block_number <= b.block_number + {HORIZON} WHERE b.kind = 'burn')""", """SELECT b.id, count(*) FILTER (j.kind = 'swap') AS swaps, count(*) FILTER (j.kind = 'mint') AS mints, count(*) FILTER (j.kind = 'burn') AS burns,
-  CAST(coalesce(sum(j.amount0) FILTER (j.amount0 > 0), 0)::HUGEINT AS VARCHAR) AS in0, CAST(coalesce(sum(j.amount1) FILTER (j.amount1 > 0), 0)::HUGEINT AS VARCHAR) AS in1, CAST(coalesce(sum(j.delta), 0)::HUGEINT AS VARCHAR) AS net,
-  min(j.tick_after) AS tick_min, max(j.tick_after) AS tick_max, coalesce(sum(step), 0) AS tick_variation FROM events b LEFT JOIN j ON j.id = b.id WHERE b.kind = 'burn' GROUP BY b.id"""),
     "clean_starts": sql(ACTIONS, "SELECT id, earlier, earlier = 0 AS clean FROM (SELECT *, row_number() OVER (PARTITION BY pool, block_number ORDER BY log_index, id) - 1 AS earlier FROM actions) WHERE action_type = 2"),
     "coverage": f"""SELECT pool, greatest(a.lo, s.lo) AS first, least(a.hi, s.hi) AS through FROM (SELECT {address_sql('pool_address')} AS pool, min(block_number) AS lo, max(block_number) AS hi FROM lp_actions GROUP BY 1) a
 JOIN (SELECT {address_sql('pool_address')} AS pool, min(block_number) AS lo, max(block_number) AS hi FROM swaps GROUP BY 1) s USING (pool)""",

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riverbed.functions.bigint import sum_limbs, text_of
+from riverbed.functions.bigint import limbs_needed, sum_limbs, text_of
 from riverbed.functions.scalars import location, log1p_of, outside, ratio
 from riverbed.operators.ordered import running_totals
 from riverbed.operators.stats import pearson
 from riverbed.plans.base import ACTIONS, IMPACTS, SNAPSHOTS, actions, impacts, snapshots, sql
+from riverbed.plans.depths import GRID, grid_depths
 from riverbed.session import cut
 
-#: Positions reported per pool; shares of liquidity that a prefix must cover; closeness of near ties, and how many.
-TOP, COVER, GAP, TIES, ALL_TIES = 20, 0.95, 0.05, 5, 50
+#: Positions reported per pool; share of liquidity that a prefix must cover.
+TOP, COVER = 20, 0.95
 #: The reference's audit of near shares: greatest gap, pairs of a snapshot and in all, logarithm of the ratio to an impact of 0.
 NEAR_GAP, NEAR_PAIRS, ALL_PAIRS, ZERO_LOG = 0.10, 25, 500, 12.0
 
@@ -60,9 +61,9 @@ def state_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of big integers beyond any native type, by pool."""
     s = snapshots(spark, sf_dir)
-    sums = sum_limbs(F.col("sqrt_price_x96"))
-    a = s.groupBy("pool").agg(*[x.alias(f"l{i}") for i, x in enumerate(sums)])
-    return a.select("pool", text_of([F.col(f"l{i}") for i in range(len(sums))]).alias("total"))
+    parts = limbs_needed(s, "sqrt_price_x96")
+    a = s.groupBy("pool").agg(*[x.alias(f"l{i}") for i, x in enumerate(sum_limbs(F.col("sqrt_price_x96"), parts))])
+    return a.select("pool", text_of([F.col(f"l{i}") for i in range(parts)]).alias("total"))
 
 
 def coverage_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,16 +86,22 @@ def range_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = impacts(spark, sf_dir).where("total >= 0").select("pool", "snapshot_index", "key", "total")
+    """Sums, sums over the first by impact, and concentration of impact and of active share, by snapshot."""
+    i = impacts(spark, sf_dir).where("total >= 0").select("pool", "snapshot_index", "key", "total", F.greatest(F.coalesce("share", F.lit(0.0)), F.lit(0.0)).alias("share"))
     w = Window.partitionBy("pool", "snapshot_index")
-    v, rn, up = F.col("total"), F.col("rn"), F.col("up")
-    rows = i.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("total"), "key")), "up": F.row_number().over(w.orderBy("total", "key"))})
-    whole, n = F.sum(v), F.count("*")
-    top = lambda k: F.sum(F.when(rn <= k, v).otherwise(0.0)) / whole
-    hhi = F.sum(v * v) / (whole * whole)
-    gini = 2 * F.sum(v * up) / (n * whole) - (n + 1) / n
-    guarded = lambda c: F.when(whole > 0, c).otherwise(F.lit(0.0))
-    return rows.groupBy("pool", "snapshot_index").agg(n.alias("positions"), guarded(top(1)).alias("top1"), guarded(top(3)).alias("top3"), guarded(hhi).alias("hhi"), guarded(1 / hhi).alias("effective"), guarded(gini).alias("gini"))
+    rows = i.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("total"), "key")), "up": F.row_number().over(w.orderBy("total", "key")), "up_share": F.row_number().over(w.orderBy("share", "key"))})
+    n = F.count("*")
+
+    def measures(c: str, up: str) -> tuple[Column, ...]:
+        v, whole = F.col(c), F.sum(c)
+        first = lambda k: F.sum(F.when(F.col("rn") <= k, v).otherwise(0.0))
+        part = lambda x: F.when(whole > 0, x).otherwise(F.lit(0.0))
+        squares = F.sum(v * v)
+        return whole, first(1), first(3), part(first(1) / whole), part(first(3) / whole), part(squares / (whole * whole)), part((whole * whole) / squares), part(2 * F.sum(v * F.col(up)) / (n * whole) - (n + 1) / n)
+
+    total = dict(zip(("sum_total", "top1_total", "top3_total", "top1", "top3", "hhi", "effective", "gini"), measures("total", "up")))
+    share = dict(zip(("sum_share", "top1_share", "top3_share", "", "", "hhi_share", "", "gini_share"), measures("share", "up_share")))
+    return rows.groupBy("pool", "snapshot_index").agg(n.alias("positions"), *[c.alias(k) for k, c in {**total, **share}.items() if k])
 
 
 def snapshot_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,18 +109,26 @@ def snapshot_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("pool", "snapshot_index", "positions", *[F.round(c, 8).alias(c) for c in ("top1", "top3", "hhi", "effective", "gini")])
 
 
+#: What is summed up over snapshots: mean impacts of trades in both directions, and the measures of concentration.
+SUMMED = ["area_down", "area_up", "sum_share", "top1_share", "top3_share", "sum_total", "top1_total", "top3_total", "top1", "top3", "hhi_share", "hhi", "effective", "gini_share", "gini"]
+
+
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, least and greatest of each measure of concentration over all snapshots."""
-    names = ["top1", "top3", "hhi", "effective", "gini"]
-    long = _shares(spark, sf_dir).unpivot(["pool", "snapshot_index"], names, "metric", "value")
-    return long.groupBy("metric").agg(F.round(F.avg("value"), 8).alias("mean"), F.round(F.min("value"), 8).alias("least"), F.round(F.max("value"), 8).alias("greatest"))
+    """Mean, least and greatest of each measure over all snapshots that have it."""
+    areas = grid_depths(spark, sf_dir).groupBy("pool", "snapshot_index").agg(F.max(F.when(F.col("zero_for_one"), F.col("area"))).alias("area_down"), F.max(F.when(~F.col("zero_for_one"), F.col("area"))).alias("area_up"))
+    both = _shares(spark, sf_dir).join(areas, ["pool", "snapshot_index"], "left")
+    long = both.unpivot(["pool", "snapshot_index"], SUMMED, "metric", "value")
+    return long.groupBy("metric").agg(F.count("value").alias("snapshots"), *[F.round(f("value"), 6).alias(c) for f, c in ((F.avg, "mean"), (F.min, "least"), (F.max, "greatest"))])
 
 
 def direction_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of the two directions merged by position; a position may be in one only."""
+    """Reports of the two directions merged by position; a position may be in one only.
+
+    A direction reports every position that it has an impact of, also one of 0; where it has none, 0 is taken.
+    """
     i = cut(impacts(spark, sf_dir).select("pool", "snapshot_index", "key", "zero_for_one", "one_for_zero"))
     on = ["pool", "snapshot_index", "key"]
-    down, up = i.where("zero_for_one > 0").drop("one_for_zero"), i.where("one_for_zero > 0").drop("zero_for_one")
+    down, up = i.where("zero_for_one IS NOT NULL").drop("one_for_zero"), i.where("one_for_zero IS NOT NULL").drop("zero_for_one")
     both = down.join(up, on, "full_outer")
     a, b = F.coalesce("zero_for_one", F.lit(0.0)), F.coalesce("one_for_zero", F.lit(0.0))
     return both.select(*on, F.round(a + b, 9).alias("total"), F.greatest(a, b).alias("largest"))
@@ -167,9 +182,17 @@ def status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (active_positions, range_liquidity, tick_map, state_parity, price_sums, coverage_prefix, range_aggregates, snapshot_concentration, metric_summary, direction_merge, near_ties, direction_ranks, pool_rollup, status_pivot)}
 
-_SHARES = """shares AS (SELECT pool, snapshot_index, count(*) AS positions, CASE WHEN sum(total) > 0 THEN sum(CASE WHEN rn <= 1 THEN total ELSE 0 END) / sum(total) ELSE 0 END AS top1, CASE WHEN sum(total) > 0 THEN sum(CASE WHEN rn <= 3 THEN total ELSE 0 END) / sum(total) ELSE 0 END AS top3,
-  CASE WHEN sum(total) > 0 THEN sum(total * total) / (sum(total) * sum(total)) ELSE 0 END AS hhi, CASE WHEN sum(total) > 0 THEN (sum(total) * sum(total)) / sum(total * total) ELSE 0 END AS effective, CASE WHEN sum(total) > 0 THEN 2 * sum(total * up) / (count(*) * sum(total)) - (count(*) + 1) / count(*) ELSE 0 END AS gini
-  FROM (SELECT *, row_number() OVER (PARTITION BY pool, snapshot_index ORDER BY total DESC, key) AS rn, row_number() OVER (PARTITION BY pool, snapshot_index ORDER BY total, key) AS up FROM impacts WHERE total >= 0) GROUP BY 1, 2)"""
+def _measures(c: str, up: str, names: list[str]) -> str:
+    part = lambda x: f"CASE WHEN sum({c}) > 0 THEN {x} ELSE 0 END"
+    first = lambda k: f"sum(CASE WHEN rn <= {k} THEN {c} ELSE 0 END)"
+    all_ = [f"sum({c})", first(1), first(3), part(f"{first(1)} / sum({c})"), part(f"{first(3)} / sum({c})"), part(f"sum({c} * {c}) / (sum({c}) * sum({c}))"), part(f"(sum({c}) * sum({c})) / sum({c} * {c})"), part(f"2 * sum({c} * {up}) / (count(*) * sum({c})) - (count(*) + 1) / count(*)")]
+    return ", ".join(f"{x} AS {n}" for x, n in zip(all_, names) if n)
+
+
+_SHARES = f"""shares AS (SELECT pool, snapshot_index, count(*) AS positions, {_measures("total", "up", ["sum_total", "top1_total", "top3_total", "top1", "top3", "hhi", "effective", "gini"])}, {_measures("share", "up_share", ["sum_share", "top1_share", "top3_share", "", "", "hhi_share", "", "gini_share"])}
+  FROM (SELECT *, row_number() OVER (PARTITION BY pool, snapshot_index ORDER BY total DESC, key) AS rn, row_number() OVER (PARTITION BY pool, snapshot_index ORDER BY total, key) AS up, row_number() OVER (PARTITION BY pool, snapshot_index ORDER BY share, key) AS up_share
+    FROM (SELECT pool, snapshot_index, key, total, greatest(coalesce(share, 0), 0) AS share FROM impacts WHERE total >= 0)) GROUP BY 1, 2)"""
+_ALL = " UNION ALL ".join(f"SELECT '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM shares LEFT JOIN areas USING (pool, snapshot_index)" for c in SUMMED)
 _LOCATED = "CASE WHEN current_tick < tick_lower THEN 'below_current_tick' WHEN current_tick >= tick_upper THEN 'above_current_tick' WHEN current_tick IS NOT NULL THEN 'active' END"
 _NOW = "now AS (SELECT pool, max(block_number) AS through, arg_max(tick, block_number) AS tick, arg_max(active_liquidity, block_number) AS recorded FROM snaps WHERE tick IS NOT NULL GROUP BY 1)"
 
@@ -184,12 +207,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY liquidity DESC, na
     "coverage_prefix": sql(IMPACTS, f"""r AS (SELECT *, sum(liquidity) OVER (PARTITION BY pool, snapshot_index ORDER BY liquidity DESC, key ROWS UNBOUNDED PRECEDING)::HUGEINT AS upto, sum(liquidity) OVER (PARTITION BY pool, snapshot_index)::HUGEINT AS whole FROM impacts WHERE liquidity > 0)""", f"SELECT pool, snapshot_index, count(*) AS positions, CAST(sum(liquidity)::HUGEINT AS VARCHAR) AS liquidity FROM r WHERE upto - liquidity < (whole * {int(COVER * 10_000)} + 9999) // 10000 GROUP BY 1, 2"),
     "range_aggregates": sql(IMPACTS, "SELECT key, count(*) AS appearances, count(*) FILTER (total > 0) AS felt, min(block_number) AS first_block, max(block_number) AS last_block, round(avg(share), 9) AS mean_share, round(avg(total), 6) AS mean_total, max(total) AS max_total FROM impacts GROUP BY 1"),
     "snapshot_concentration": sql(IMPACTS, _SHARES, "SELECT pool, snapshot_index, positions, round(top1, 8) AS top1, round(top3, 8) AS top3, round(hhi, 8) AS hhi, round(effective, 8) AS effective, round(gini, 8) AS gini FROM shares"),
-    "metric_summary": sql(IMPACTS, _SHARES, "l AS (UNPIVOT (SELECT CAST(top1 AS DOUBLE) AS top1, CAST(top3 AS DOUBLE) AS top3, CAST(hhi AS DOUBLE) AS hhi, CAST(effective AS DOUBLE) AS effective, CAST(gini AS DOUBLE) AS gini FROM shares) ON top1, top3, hhi, effective, gini INTO NAME metric VALUE value)", "SELECT metric, round(avg(value), 8) AS mean, round(min(value), 8) AS least, round(max(value), 8) AS greatest FROM l GROUP BY 1"),
+    "metric_summary": sql(IMPACTS, *GRID, _SHARES, "areas AS (SELECT pool, snapshot_index, max(area) FILTER (zero_for_one) AS area_down, max(area) FILTER (NOT zero_for_one) AS area_up FROM depths GROUP BY 1, 2)", f"l AS ({_ALL})", "SELECT metric, count(value) AS snapshots, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS greatest FROM l GROUP BY 1"),
     "direction_merge": sql(IMPACTS, """SELECT pool, snapshot_index, key, round(coalesce(a.zero_for_one, 0) + coalesce(b.one_for_zero, 0), 9) AS total, greatest(coalesce(a.zero_for_one, 0), coalesce(b.one_for_zero, 0)) AS largest
-FROM (SELECT * FROM impacts WHERE zero_for_one > 0) a FULL JOIN (SELECT * FROM impacts WHERE one_for_zero > 0) b USING (pool, snapshot_index, key)"""),
-    "near_ties": sql(IMPACTS, f"""p AS (SELECT a.pool, a.snapshot_index, a.key, b.key AS other, round(log10(greatest(a.total, b.total) / least(a.total, b.total)) * (1 - abs(a.share - b.share) / greatest(a.share, b.share)), 9) AS score
-  FROM impacts a JOIN impacts b ON a.pool = b.pool AND a.snapshot_index = b.snapshot_index AND a.key < b.key WHERE a.share > 0 AND b.share > 0 AND a.total > 0 AND b.total > 0 AND abs(a.share - b.share) / greatest(a.share, b.share) <= {GAP}),
-f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY pool, snapshot_index ORDER BY score DESC, key, other) <= {TIES})""", f"SELECT * FROM f ORDER BY score DESC, pool, snapshot_index, key, other LIMIT {ALL_TIES}"),
+FROM (SELECT * FROM impacts WHERE zero_for_one IS NOT NULL) a FULL JOIN (SELECT * FROM impacts WHERE one_for_zero IS NOT NULL) b USING (pool, snapshot_index, key)"""),
+    "near_ties": sql(IMPACTS, f"""p AS (SELECT a.pool, a.snapshot_index, a.key, b.key AS other, round(CASE WHEN least(a.total, b.total) > 0 THEN log10(greatest(a.total, b.total) / least(a.total, b.total)) ELSE {ZERO_LOG} END * (1 - abs(a.share - b.share) / greatest(a.share, b.share)), 9) AS score
+  FROM impacts a JOIN impacts b ON a.pool = b.pool AND a.snapshot_index = b.snapshot_index AND a.key < b.key WHERE a.share > 0 AND b.share > 0 AND greatest(a.total, b.total) > 0 AND a.total IS NOT NULL AND b.total IS NOT NULL AND abs(a.share - b.share) / greatest(a.share, b.share) <= {NEAR_GAP}),
+f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY pool, snapshot_index ORDER BY score DESC, key, other) <= {NEAR_PAIRS})""", f"SELECT * FROM f ORDER BY score DESC, pool, snapshot_index, key, other LIMIT {ALL_PAIRS}"),
     "direction_ranks": sql(IMPACTS, """r AS (SELECT *, rank() OVER (PARTITION BY pool, snapshot_index ORDER BY zero_for_one) + (count(*) OVER (PARTITION BY pool, snapshot_index, zero_for_one) - 1) / 2 AS ra, rank() OVER (PARTITION BY pool, snapshot_index ORDER BY one_for_zero) + (count(*) OVER (PARTITION BY pool, snapshot_index, one_for_zero) - 1) / 2 AS rb,
   row_number() OVER (PARTITION BY pool, snapshot_index ORDER BY zero_for_one DESC, key) AS na, row_number() OVER (PARTITION BY pool, snapshot_index ORDER BY one_for_zero DESC, key) AS nb FROM impacts WHERE zero_for_one IS NOT NULL AND one_for_zero IS NOT NULL)""", """SELECT pool, snapshot_index, count(*) AS positions, round(CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) ELSE 0 END, 8) AS rho, count(*) FILTER (na <= 1 AND nb <= 1) AS same_first, count(*) FILTER (na <= 3 AND nb <= 3) AS overlap3 FROM r GROUP BY 1, 2 HAVING count(*) >= 5"""),
     "pool_rollup": sql(IMPACTS, f"""l AS (SELECT *, {_LOCATED} AS location, CASE WHEN current_tick < tick_lower THEN tick_lower - current_tick WHEN current_tick >= tick_upper THEN current_tick - tick_upper WHEN current_tick IS NOT NULL THEN 0 END AS far FROM impacts)""", """SELECT CASE WHEN grouping(location) = 1 THEN 'TOTAL' ELSE coalesce(location, 'none') END AS location, count(*) AS positions, count(*) FILTER (zero_for_one > one_for_zero) AS down_harder, round(avg(CASE WHEN total > 0 THEN ln(1 + total) ELSE 0 END), 8) AS mean_log, max(far) AS farthest FROM l GROUP BY ROLLUP (location)"""),

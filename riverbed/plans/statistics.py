@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverbed.functions.scalars import location
-from riverbed.operators.stats import bootstrap_mean, concentration, holm, interpolated_percentiles, pearson, percentile_of_value, sign_flip, smd, spearman, wilcoxon
+from riverbed.operators.stats import average_ranks, bootstrap_mean, concentration, holm, interpolated_percentiles, pearson, percentile_of_value, sign_flip, smd, spearman, wilcoxon
 from riverbed.plans.base import IMPACTS, impacts, sql
 from riverbed.session import cut
 
 #: Replicates of the bootstrap and of the test by random signs, as in the reference.
 DRAWS = 20_000
-METRICS, TARGETS = ["share", "range_width", "distance_to_nearest_edge"], ["zero_for_one", "one_for_zero", "total"]
+METRICS = ["share", "range_width", "distance_to_lower_tick", "distance_to_upper_tick", "distance_to_nearest_edge", "density"]
+TARGETS = ["zero_for_one", "one_for_zero", "total", "largest"]
 
 
 def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +30,25 @@ def share_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pearson's correlation of every measure with every impact over all rows."""
-    i = impacts(spark, sf_dir).select("impact_id", *[F.col(c).cast("double").alias(c) for c in METRICS + TARGETS])
-    long = i.unpivot(["impact_id", *TARGETS], METRICS, "metric", "x").unpivot(["impact_id", "metric", "x"], TARGETS, "target", "y")
-    both = long.where("x IS NOT NULL AND y IS NOT NULL")
-    return both.groupBy("metric", "target").agg(F.count("*").alias("n"), F.round(pearson(F.col("x"), F.col("y")), 6).alias("r"))
+    """Pearson's and Spearman's correlation of every measure with every impact over the rows that have all of them.
+
+    ``density`` is the share per tick of the range, 0 for one without width; ``largest`` the greater of both directions.
+    Each measure is ranked once, over distinct values; all correlations come from one row of ranks per position.
+    """
+    names = METRICS + TARGETS
+    i = impacts(spark, sf_dir).withColumns({"density": F.when(F.col("range_width") > 0, F.col("share") / F.col("range_width")).otherwise(F.lit(0.0)), "largest": F.greatest("zero_for_one", "one_for_zero")})
+    rows = cut(i.select("impact_id", *[F.col(c).cast("double").alias(c) for c in names]).dropna())
+    long = rows.unpivot(["impact_id"], names, "measure", "value")
+    ranks = average_ranks(long, "measure", "value").select("measure", "value", "rank")
+    ranked = long.join(ranks, ["measure", "value"]).groupBy("impact_id").pivot("measure", names).agg(F.first("rank"))
+    pairs = [(m, t) for m in METRICS for t in TARGETS]
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        one = df.agg(F.count("*").alias("n"), *[F.round(pearson(F.col(m), F.col(t)), 6).alias(f"{m}|{t}") for m, t in pairs])
+        return one.unpivot(["n"], [f"{m}|{t}" for m, t in pairs], "pair", name)
+
+    both = table(rows, "pearson").join(table(ranked, "spearman").drop("n"), "pair")
+    return both.select(F.split("pair", "[|]")[0].alias("metric"), F.split("pair", "[|]")[1].alias("target"), "n", "pearson", "spearman")
 
 
 def impact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,12 +113,14 @@ def _r(x: str, y: str) -> str:
     return f"CASE WHEN count(*) >= 2 AND stddev_pop({x}) > 0 AND stddev_pop({y}) > 0 THEN covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) ELSE 0 END"
 
 
-_PAIRS = " UNION ALL ".join(f"SELECT '{m}' AS metric, '{t}' AS target, CAST({m} AS DOUBLE) AS x, {t} AS y FROM impacts WHERE {m} IS NOT NULL AND {t} IS NOT NULL" for m in METRICS for t in TARGETS)
+_FULL = "full_ AS (SELECT * FROM (SELECT impact_id, share, range_width, distance_to_lower_tick, distance_to_upper_tick, distance_to_nearest_edge, CASE WHEN range_width > 0 THEN share / range_width ELSE 0 END AS density, zero_for_one, one_for_zero, total, greatest(zero_for_one, one_for_zero) AS largest FROM impacts) WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in METRICS + TARGETS) + ")"
+_RANKED = "ranked AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in METRICS + TARGETS) + " FROM full_)"
+_PAIRS = " UNION ALL ".join(f"SELECT '{m}' AS metric, '{t}' AS target, (SELECT count(*) FROM full_) AS n, (SELECT round({_r(m, t)}, 6) FROM full_) AS pearson, (SELECT round({_r(m, t)}, 6) FROM ranked) AS spearman" for m in METRICS for t in TARGETS)
 _WIDE = " UNION ALL ".join(f"SELECT '{c}' AS covariate, range_width >= 10000 AS wide, CAST({c} AS DOUBLE) AS v FROM impacts WHERE range_width IS NOT NULL" for c in ("share", "distance_to_nearest_edge", "total"))
 
 ORACLE = {
     "share_correlation": sql(IMPACTS, """r AS (SELECT pool, share, total, rank() OVER (PARTITION BY pool ORDER BY share) + (count(*) OVER (PARTITION BY pool, share) - 1) / 2 AS a, rank() OVER (PARTITION BY pool ORDER BY total) + (count(*) OVER (PARTITION BY pool, total) - 1) / 2 AS b FROM impacts WHERE share IS NOT NULL AND total IS NOT NULL)""", f"SELECT pool, count(*) AS n, round({_r('share', 'total')}, 6) AS pearson, round({_r('a', 'b')}, 6) AS spearman FROM r GROUP BY 1"),
-    "correlation_matrix": sql(IMPACTS, f"p AS ({_PAIRS})", f"SELECT metric, target, count(*) AS n, round({_r('x', 'y')}, 6) AS r FROM p GROUP BY 1, 2"),
+    "correlation_matrix": sql(IMPACTS, _FULL, _RANKED, _PAIRS),
     "impact_percentiles": sql(IMPACTS, _LOCATED, "s AS (SELECT 'all' AS stratum, total FROM located UNION ALL SELECT location, total FROM located)", "SELECT stratum, count(total) AS n, round(quantile_cont(total, 0.25), 9) AS q1, round(quantile_cont(total, 0.5), 9) AS median, round(quantile_cont(total, 0.75), 9) AS q3 FROM s GROUP BY 1"),
     "impact_standing": sql(IMPACTS, "SELECT DISTINCT pool, total, round(CASE WHEN count(*) OVER (PARTITION BY pool) <= 1 THEN 1 ELSE (count(*) OVER (PARTITION BY pool ORDER BY total RANGE UNBOUNDED PRECEDING) - 1) / (count(*) OVER (PARTITION BY pool) - 1) END, 9) AS percentile FROM impacts WHERE total IS NOT NULL"),
     "pool_concentration": sql(IMPACTS, "r AS (SELECT pool, total, row_number() OVER (PARTITION BY pool ORDER BY total) AS i FROM impacts WHERE total >= 0)", """SELECT pool, count(*) AS n, round(CASE WHEN sum(total) > 0 THEN sum(total * total) / (sum(total) * sum(total)) ELSE 0 END, 6) AS hhi, round(CASE WHEN sum(total) > 0 THEN (sum(total) * sum(total)) / sum(total * total) ELSE 0 END, 6) AS effective,

@@ -14,6 +14,8 @@ from riverbed.session import cut
 
 #: Bins, seed and spacing of the drawing; blocks after a burn at which outcomes are read; farthest control.
 BINS, SEED, SPACING, HORIZONS, CALIPER = 30, 20260725, 7200, [10, 100, 1000, 7200], 1.25
+#: A stratum of matching: the positions of one state of a pool.
+STATE = ["pool", "snapshot_index"]
 #: Impacts in basis points at which the depth of a curve is read.
 THRESHOLDS = [1.0, 10.0, 100.0]
 
@@ -47,9 +49,9 @@ def horizon_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A narrow position for each wide one of the same stretch of its pool's history, alike in share and distance."""
+    """A narrow position for each wide one of the same state of its pool, alike in share and distance."""
     i = impacts(spark, sf_dir).where("total IS NOT NULL").withColumn("wide", F.col("range_width") >= 10_000)
-    return matched(i, "pool", ["snapshot_index", "impact_id"], "impact_id", "wide", ["share", "distance_to_nearest_edge"], CALIPER)
+    return matched(i, STATE, "impact_id", "wide", ["share", "distance_to_nearest_edge"], CALIPER)
 
 
 def impact_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +71,7 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def controlled_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three narrow positions for each wide one, each used up to three times, and how their impacts differ."""
     i = cut(_wide(spark, sf_dir))
-    pairs = controls(i, "pool", ["snapshot_index", "impact_id"], "impact_id", "wide", ["share", "distance_to_nearest_edge"], CALIPER)
+    pairs = controls(i, STATE, "impact_id", "wide", ["share", "distance_to_nearest_edge"], CALIPER)
     total = i.select(F.col("impact_id").cast("string").alias("id"), "total")
     both = pairs.join(total.withColumnsRenamed({"id": "impact_id", "total": "own"}), "impact_id").join(total.withColumnsRenamed({"id": "control", "total": "other"}), "control")
     return both.groupBy("impact_id").agg(F.count("*").alias("controls"), F.max("own").alias("total"), F.avg("other").alias("control_mean"), (F.max("own") - F.avg("other")).alias("excess"))
@@ -78,7 +80,7 @@ def controlled_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matched_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standardised differences of covariates before and after matching."""
     i = cut(_wide(spark, sf_dir))
-    pairs = matched(i, "pool", ["snapshot_index", "impact_id"], "impact_id", "wide", ["share", "distance_to_nearest_edge"], CALIPER)
+    pairs = matched(i, STATE, "impact_id", "wide", ["share", "distance_to_nearest_edge"], CALIPER)
     chosen = pairs.select(F.explode(F.array("impact_id", "control")).alias("id"))
     names = ["share", "distance_to_nearest_edge", "total"]
     long = i.select(F.col("impact_id").cast("string").alias("id"), "wide", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["id", "wide"], names, "covariate", "value")
@@ -120,6 +122,6 @@ ORACLE = {
 nexts AS (SELECT b.pool, b.block_number, min(n.block_number) AS following FROM b LEFT JOIN b n ON n.pool = b.pool AND b.block_number + {SPACING} <= n.block_number GROUP BY 1, 2)""", "SELECT pool, block_number FROM (WITH RECURSIVE c AS (SELECT pool, min(block_number) AS block_number FROM b GROUP BY 1 UNION ALL SELECT n.pool, n.following FROM c JOIN nexts n ON n.pool = c.pool AND n.block_number = c.block_number WHERE n.following IS NOT NULL) SELECT * FROM c)"),
     "burn_horizons": sql(ACTIONS, SNAPSHOTS, _HORIZONS, "SELECT id, horizon, observed, CASE WHEN observed THEN seen END AS snapshot_block, CASE WHEN observed THEN tick END AS tick FROM o"),
     "horizon_counts": sql(ACTIONS, SNAPSHOTS, _HORIZONS, "SELECT horizon, count(*) AS expected, count(*) FILTER (observed) AS observed, count(*) FILTER (NOT observed) AS censored FROM o GROUP BY 1"),
-    "horizon_flows": sql(ACTIONS, f"""n AS (SELECT b.id, h, count(e.id) AS events FROM actions b CROSS JOIN (SELECT unnest({HORIZONS[:2]}) AS h) LEFT JOIN actions e ON e.pool = b.pool AND (e.block_number, e.log_index) > (b.block_number, b.log_index) AND e.block_number <= b.block_number + h WHERE b.action_type = 2 GROUP BY 1, 2)""", "SELECT h AS horizon, count(*) AS burns, CAST(sum(events) AS BIGINT) AS events, 0 AS violations FROM n GROUP BY 1"),
+    "horizon_flows": sql(ACTIONS, f"""n AS (SELECT b.id, h, count(e.id) AS events FROM actions b CROSS JOIN (SELECT unnest({HORIZONS}) AS h) LEFT JOIN actions e ON e.pool = b.pool AND (e.block_number, e.log_index) > (b.block_number, b.log_index) AND e.block_number <= b.block_number + h WHERE b.action_type = 2 GROUP BY 1, 2)""", "SELECT h AS horizon, count(*) AS burns, CAST(sum(events) AS BIGINT) AS events, 0 AS violations FROM n GROUP BY 1"),
     "impact_curves": sql(IMPACTS, "p AS (SELECT pool, snapshot_index, sum(share) OVER w AS x, max(total) OVER w AS y FROM impacts WHERE share IS NOT NULL AND total IS NOT NULL WINDOW w AS (PARTITION BY pool, snapshot_index ORDER BY distance_to_nearest_edge NULLS FIRST, impact_id ROWS UNBOUNDED PRECEDING))", "q AS (SELECT *, lag(x, 1, 0) OVER w AS x0, lag(y, 1, 0) OVER w AS y0 FROM p WINDOW w AS (PARTITION BY pool, snapshot_index ORDER BY x, y))", f"r AS (SELECT *, {_STEP} FROM q)", f"SELECT pool, snapshot_index, count(*) AS points, round(max(x), 5) AS reach, round(CASE WHEN max(x) > 0 THEN sum((x - x0) * (y + y0) / 2) / max(x) ELSE 0 END, 5) AS area, {_DEPTH} FROM r GROUP BY 1, 2"),
 }

@@ -25,8 +25,13 @@ def single_events(stream: DataFrame, time: str, key: list[str], late: str = "1 h
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(key)
 
 
-def pool_totals(stream: DataFrame, time: str, window: str = "1 day", late: str = "60 days") -> DataFrame:
-    """Deliveries and sums of finite amounts per pool and window of event time, as they become known."""
+def pool_totals(stream: DataFrame, time: str, window: str = "1 day", late: str | None = None) -> DataFrame:
+    """Deliveries and sums of finite amounts per pool and window of event time, as they become known.
+
+    The state is one row per pool and window whatever the number of rows, so it is kept and rows count however late they
+    come.  With ``late`` as a watermark, windows are dropped once it has passed them, and later rows with them.
+    """
     usd = F.when(~F.isnan("amount_usd") & (F.abs("amount_usd") < F.lit(float("inf"))), F.col("amount_usd"))
-    rows = stream.select(clean_address("pool_address").alias("pool"), F.col(time).cast("timestamp").alias("t"), usd.alias("usd")).withWatermark("t", late)
+    rows = stream.select(clean_address("pool_address").alias("pool"), F.col(time).cast("timestamp").alias("t"), usd.alias("usd")).where("t IS NOT NULL")
+    rows = rows.withWatermark("t", late) if late else rows
     return rows.groupBy(F.window("t", window).alias("w"), "pool").agg(F.count("*").alias("rows"), F.sum("usd").alias("usd")).select("pool", F.col("w.start").alias("start"), "rows", "usd")

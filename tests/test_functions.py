@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
-from riverbed.functions.bigint import sum_limbs, text_of
-from riverbed.functions.exact import exact_cents, finite
+from riverbed.functions.bigint import limbs_needed, sum_limbs, text_of
+from riverbed.functions.exact import exact_cents, finite, too_large
 from riverbed.functions.keys import clean_address, clean_key
 from riverbed.functions.scalars import block_bin, direction, fnv1a, location, log1p_of, outside, ratio, seeded_score, slug, spacing_of
 from riverbed.sources.files import exact_raw
@@ -22,14 +23,23 @@ def test_finite_and_cents(spark):
     got = one(spark, "x double", [(float("nan"),), (float("inf"),), (None,), (-0.01,), (9.569494848405074e18,), (1.005,)], finite("x"), exact_cents("x").cast("string"))
     assert [g[1] for g in got[:4]] == [None, None, None, "-1"]
     assert int(got[4][1]) == int(9.569494848405074e18 * 100) and got[5][1] == "100"
+    got = one(spark, "x double", [(1e30,), (-5e26,), (9.9e25,), (None,), (float("inf"),)], exact_cents("x").cast("string"), too_large("x"))
+    assert got == [(None, True), (None, True), (str(int(9.9e27)), False), (None, False), (None, False)]
 
 
 def test_big_sums(spark):
     big = [str(2**250), "-" + str(2**249), "+7", "-1", None, "no number"]
     df = spark.createDataFrame([("a", b) for b in big] + [("b", None)], "k string, x string")
-    sums = df.groupBy("k").agg(*[s.alias(f"l{i}") for i, s in enumerate(sum_limbs(F.col("x")))])
-    got = {r.k: r.t for r in sums.select("k", text_of([F.col(f"l{i}") for i in range(5)]).alias("t")).collect()}
-    assert got == {"a": str(2**250 - 2**249 + 6), "b": None}
+    n = limbs_needed(df, "x")
+    sums = df.groupBy("k").agg(*[s.alias(f"l{i}") for i, s in enumerate(sum_limbs(F.col("x"), n))])
+    got = {r.k: r.t for r in sums.select("k", text_of([F.col(f"l{i}") for i in range(n)]).alias("t")).collect()}
+    assert n == 5 and got == {"a": str(2**250 - 2**249 + 6), "b": None}
+    long = spark.createDataFrame([("9" * 100,), ("1",), ("-" + "0" * 120 + "5",)], "x string")
+    n = limbs_needed(long, "x")
+    assert n == 6 and long.agg(*[s.alias(f"l{i}") for i, s in enumerate(sum_limbs(F.col("x"), n))]).select(text_of([F.col(f"l{i}") for i in range(n)])).first()[0] == str(10**100 - 5)
+    assert limbs_needed(long.where("false"), "x") == 1
+    with pytest.raises(Exception, match="more digits"):
+        long.select(*sum_limbs(F.col("x"), 5)).collect()
 
 
 def test_scaling_rejects_lost_digits(spark):

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 
 from riverbed.operators.chunks import number_rows, per_key_totals
-from riverbed.operators.ordered import after_cursor, asof, conflicts, first_per, haloed, neighbours, running_totals
+from riverbed.operators.ordered import after_cursor, asof, conflicts, first_per, haloed, neighbours, range_extremes, running_totals
 
 
 def rows_of(n=400, seed=5):
@@ -81,3 +81,22 @@ def test_cursor_conflicts_and_first(spark):
     assert {(r.log_index, r.copies, r.versions) for r in conflicts(df, ["block_number", "log_index"], ["v"]).collect()} == {(1, 2, 1), (2, 2, 2)}
     assert df.where(after_cursor(1, 1, 1)).count() == 2 and df.where(after_cursor(1, 2)).count() == 1
     assert sorted(r.log_index for r in first_per(df, ["block_number"], ["log_index"]).collect()) == [0, 1]
+
+
+def test_range_extremes(spark):
+    rng = random.Random(8)
+    values = {k: [rng.choice([None, *range(-50, 50)]) for _ in range(n)] for k, n in (("hot", 700), ("b", 5))}
+    df = spark.createDataFrame([(k, i, v) for k, vs in values.items() for i, v in enumerate(vs)], "k string, n long, v int")
+    asked = [(rng.choice(["hot", "hot", "b", "none", None]), a, a + rng.choice([-1, 0, 1, 3, 20, 400])) for a in (rng.randrange(0, 300) for _ in range(200))] + [("b", 0, 4), ("hot", None, 3)]
+    got = range_extremes(df, "k", "n", ["v"], spark.createDataFrame(asked, "k string, f long, l long"), "f", "l", block=4).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        own = [v for v in values.get(r.k, [])[r.f : r.l + 1] if v is not None] if r.f is not None and r.l >= r.f else []
+        assert (r.v_least, r.v_most) == (min(own, default=None), max(own, default=None)), r
+
+
+def test_running_maxima(spark):
+    rows = rows_of()
+    got = {(r.k, r.t, r.i): r.v_upto for r in running_totals(spark.createDataFrame(rows, "k string, t int, i int, v int"), ["k"], ["t", "i"], [], also_max=["v"]).collect()}
+    for k, t, i, _ in rows:
+        assert got[k, t, i] == max((r[3] for r in rows if r[0] == k and (r[1], r[2]) <= (t, i) and r[3] is not None), default=None)

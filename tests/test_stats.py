@@ -101,13 +101,29 @@ def test_stratified_order_covers_bins_first(spark):
 def test_spaced(spark):
     d = spark.createDataFrame([("p", b) for b in (1, 5, 10, 11, 30, 30, None)] + [(None, 3)], "k string, b long")
     assert sorted(r.b for r in spaced(d, "k", "b", 10).collect()) == [1, 11, 30]
+    assert spaced(d.where("false"), "k", "b", 10).count() == 0
+
+
+def test_spaced_chains_run_through_chunks(spark):
+    rng = random.Random(3)
+    rows = [("hot", rng.randrange(-500, 4000)) for _ in range(900)] + [("far", b) for b in (0, 9, 700, 1400, 1409, 9000)]
+    got = {}
+    for r in spaced(spark.createDataFrame(rows, "k string, b long"), "k", "b", 10, cells=3).collect():
+        got.setdefault(r.k, []).append(r.b)
+    for k in ("hot", "far"):
+        want, at = [], None
+        for b in sorted({b for q, b in rows if q == k}):
+            if at is None or b >= at + 10:
+                want.append(b)
+                at = b
+        assert sorted(got[k]) == want
 
 
 def test_matching_is_one_to_one_and_swaps_help(spark):
     rng = random.Random(4)
     rows = [("k", i, i % 3 == 0, rng.random(), rng.random() if i % 7 else None) for i in range(90)]
     d = spark.createDataFrame(rows, "k string, i int, t boolean, x double, y double")
-    got = matched(d, "k", ["i"], "i", "t", ["x", "y"], 1.25).collect()
+    got = matched(d, ["k"], "i", "t", ["x", "y"], 1.25).collect()
     assert got and len({r.control for r in got}) == len(got) == len({r.i for r in got})
     assert all(int(r.i) % 3 == 0 and int(r.control) % 3 and r.distance <= 1.25 for r in got)
     cost = np.random.default_rng(0).random((6, 6))
@@ -122,8 +138,8 @@ def test_controls_are_shared_up_to_a_limit(spark):
 
     rng = random.Random(7)
     rows = [("k", i, i % 2 == 0, rng.random(), None) for i in range(80)]
-    got = controls(spark.createDataFrame(rows, "k string, i int, t boolean, x double, y double"), "k", ["i"], "i", "t", ["x", "y"], 0.5, per=3, reuse=2).collect()
+    got = controls(spark.createDataFrame(rows, "k string, i int, t boolean, x double, y double"), ["k"], "i", "t", ["x", "y"], 0.5, per=3, reuse=2).collect()
     assert max(Counter(r.control for r in got).values()) <= 2 and max(Counter(r.i for r in got).values()) <= 3
     assert all(int(r.i) % 2 == 0 and int(r.control) % 2 and r.distance <= 0.5 for r in got)
     one = spark.createDataFrame(rows[:1], "k string, i int, t boolean, x double, y double")
-    assert controls(one, "k", ["i"], "i", "t", ["x"], 1.0).count() == 0
+    assert controls(one, ["k"], "i", "t", ["x"], 1.0).count() == 0
