@@ -11,13 +11,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a partition among which local bounds are looked for at once.
 BLOCK_ROWS = 500_000
 
 
+def parts_of(value: Column, descending: bool = False) -> list[Column]:
+    """A decimal(38,18) as three longs ``part0``, ``part1``, ``part2`` that order as it does, any of its 38 digits."""
+    billion = F.lit(10**10).cast("decimal(11,0)")
+    whole, rest = F.floor(value), F.try_mod(value, F.lit(1).cast("decimal(1,0)")).cast("decimal(19,18)")
+    high = F.floor(whole / billion)
+    # the product is a whole number, so the digits after the point that its type has no room for are zeros
+    below = (F.when(rest < 0, rest + F.lit(1).cast("decimal(1,0)")).otherwise(rest) * F.lit(10**18)).cast("long")
+    parts = [high.cast("long"), (whole - high * billion).cast("long"), below]
+    return [(-p if descending else p).alias(f"part{i}") for i, p in enumerate(parts)]
+
+
 def _bounds(n: int, order: list[str]):
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, rows = [], 0

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from riverbed.llm.nearest import XFastTries, nearest_times
-from riverbed.llm.percentiles import exact_percentiles, interval_counts, merge_counts, percentiles_of_counts
-from riverbed.llm.topn import top_n
+from riverbed.llm.percentiles import exact_percentiles, interval_counts, merge_counts, percentiles_of_counts, value_counts
+from riverbed.llm.topn import parts_of, top_n
 
 
 def nearest(times, t, tolerance):
@@ -75,6 +75,28 @@ def test_percentiles_of_decimals_beyond_doubles(spark):
     assert exact_percentiles(df, [], "v", [500, 900]).first()[1:] == (v[49], v[89])
 
 
+def test_percentiles_in_passes_and_of_states(spark, monkeypatch):
+    from riverbed.llm import percentiles
+
+    monkeypatch.setattr(percentiles, "MANY", 8)
+    rng = random.Random(4)
+    rows = [("hot", rng.randrange(7), 100 + rng.random() * 0.1) for _ in range(3000)] + [(rng.choice("ab"), rng.randrange(7), rng.choice([-1, 1]) * rng.choice([5.0, rng.random()])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "g string, day int, v double")
+    want = {g: tuple(rank_value([v for k, _, v in rows if k == g], p) for p in (10, 500, 990)) for g in ("hot", "a", "b")}
+    assert {r.g: tuple(r)[2:] for r in exact_percentiles(df, ["g"], "v", [10, 500, 990]).collect()} == want
+    days = value_counts(df, ["g", "day"], "v")
+    assert {r.g: tuple(r)[2:] for r in exact_percentiles(days, ["g"], "v", [10, 500, 990], weight="rows").collect()} == want
+
+
+def test_parts_of_order_like_the_decimal(spark):
+    from decimal import Decimal
+
+    v = [Decimal(x) for x in ("99999999999999999999.5", "99999999999999999999.500000000000000001", "-99999999999999999999.999999999999999999", "0", "-0.000000000000000001", "0.000000000000000001", "9999999999.999", "10000000000", "-1", "1")]
+    for down in (False, True):
+        got = spark.createDataFrame([(x,) for x in v], "v decimal(38,18)").select("v", *parts_of(F.col("v"), down)).collect()
+        assert [r.v for r in sorted(got, key=lambda r: (r.part0, r.part1, r.part2))] == sorted(v, reverse=down)
+
+
 def test_states_of_days_combine_to_bounds(spark):
     rng = random.Random(2)
     rows = [(rng.choice("ab"), rng.randrange(5), rng.choice([-1, 1]) * rng.expovariate(0.01)) for _ in range(1000)]
