@@ -1,10 +1,16 @@
 """Filling of fixed-capacity containers with items of several sources in controlled proportions.
 
-Sources are queues served by deficit round-robin: in every window a source's counter grows by its quantum, its share
-of the window's tokens, and it sends items while the counter lasts; what is left is carried to the next window.  An
-item's window therefore depends only on the tokens queued before it in its source, so a running total per source,
-with exact offsets of its partitions, replaces the round-robin loop: counters carry across windows and partitions
-without any task seeing a whole queue.  Each window is then packed on its own by best fit decreasing.
+Sources are queues served by deficit round-robin: in every window a source's counter grows by its quantum, its share of
+the window's tokens, and it sends items from the head of its queue while the counter covers them; what is left of the
+counter is carried to the next window.  The item that ends at token T of its queue is therefore covered first in window
+
+    max(0, ceil((T - start) / quantum) - 1)
+
+where ``start`` is what the counter holds before the first window.  So a running total per source, with exact offsets of
+its partitions, replaces the round-robin loop: counters carry across windows and partitions without any task seeing a
+whole queue.  ``start`` is a part of the source's largest item that its name's hash says: sources whose quantum is less
+than an item would otherwise all send their first item in the same window.  Each window is then packed on its own by
+best fit decreasing.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riverbed.operators.ordered import running_totals
@@ -24,22 +30,21 @@ WINDOW = 1024
 
 
 def _windows(items: DataFrame, capacity: int, window: int, targets: dict[str, float] | None) -> DataFrame:
-    """Items with the window that deficit round-robin serves them in."""
-    sources = items.groupBy("source").agg(F.sum("tokens").cast("double").alias("queued"))
+    """Items with the window that deficit round-robin serves them in; queues are in the order of a hash of the item."""
+    sources = items.groupBy("source").agg(F.sum("tokens").cast("double").alias("queued"), F.max("tokens").alias("largest"))
     whole = sources.agg(F.sum("queued").alias("whole"))
+    sources = sources.crossJoin(F.broadcast(whole))
+    share = F.col("queued") / F.col("whole")
     if targets:
-        share = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(float(v))) for s, v in targets.items()], F.lit(0.0))
-        spare = 1 - sum(targets.values())
-        rest = F.sum(F.when(share == 0, F.col("queued")).otherwise(0.0)).over(Window.partitionBy(F.lit(0)))
-        quanta = sources.select("source", (F.when(share > 0, share).otherwise(F.lit(max(spare, 1e-6)) * F.col("queued") / rest) * (window * capacity)).alias("quantum"))
-    else:
-        quanta = sources.crossJoin(F.broadcast(whole)).select("source", (F.col("queued") / F.col("whole") * (window * capacity)).alias("quantum"))
-    # counters start at a part of the first item that differs by source, lest all queues end in one window
-    phase = F.pmod(F.xxhash64(F.coalesce("source", F.lit("\0"))), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    quanta = quanta.select(F.col("source").alias("__s"), "quantum", phase.alias("phase"))
+        named = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(float(v))) for s, v in targets.items()], F.lit(0.0))
+        rest = sources.agg(F.sum(F.when(named == 0, F.col("queued")).otherwise(0.0)).alias("rest"))
+        sources = sources.crossJoin(F.broadcast(rest))
+        share = F.when(named > 0, named).otherwise(F.lit(max(1 - sum(targets.values()), 1e-6)) * F.col("queued") / F.col("rest"))
+    part = F.pmod(F.xxhash64(F.coalesce("source", F.lit("\0"))), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    quanta = sources.select(F.col("source").alias("__s"), F.greatest(F.lit(1), F.round(share * (window * capacity))).cast("long").alias("quantum"), F.floor(part * F.col("largest")).alias("start"))
     queued = running_totals(items.withColumn("turn", F.xxhash64("item")), ["source"], ["turn", "item"], ["tokens"])
-    turn = F.floor((F.col("tokens_upto") - 1 - F.col("phase") * (F.col("tokens") - 1)) / F.col("quantum")).cast("long")
-    return queued.join(quanta, F.col("source").eqNullSafe(F.col("__s"))).withColumn("window", turn).drop("__s", "turn", "tokens_upto", "phase", "quantum")
+    turn = F.greatest(F.lit(0), F.floor((F.col("tokens_upto") - F.col("start") - 1) / F.col("quantum"))).cast("long")
+    return queued.join(quanta, F.col("source").eqNullSafe(F.col("__s"))).withColumn("window", turn).drop("__s", "turn", "tokens_upto", "start", "quantum")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:

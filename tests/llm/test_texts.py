@@ -113,6 +113,34 @@ def test_windows_hold_the_target_proportions(spark, targets):
             assert abs(upto - want) <= 400, (w, s)
 
 
+@pytest.mark.parametrize("targets", [None, {"hot": 0.3, "a": 0.5}])
+def test_windows_are_those_of_a_sequential_deficit_loop(spark, targets):
+    from riverbed.llm.packing import _windows
+
+    rng = random.Random(11)
+    rows = [(i, rng.choice(["hot"] * 8 + ["a", "b", None, f"tiny{i % 40}"]), rng.choice([rng.randrange(1, 300), 5000, 1])) for i in range(3000)]
+    items = spark.createDataFrame(rows, "item long, source string, tokens long")
+    got = {r.item: r.window for r in _windows(items, 2048, 20, targets).collect()}
+    order = {r.item: (r.t, r.item) for r in items.select("item", F.xxhash64("item").alias("t")).collect()}
+    names = spark.createDataFrame([(s,) for s in {r[1] for r in rows}], "source string").select("source", (F.pmod(F.xxhash64(F.coalesce("source", F.lit("\0"))), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("part"))
+    part = {r.source: r.part for r in names.collect()}
+    queues = {s: sorted((r for r in rows if r[1] == s), key=lambda r: order[r[0]]) for s in part}
+    queued = {s: sum(r[2] for r in q) for s, q in queues.items()}
+    named = targets or {}
+    spare = {s: n for s, n in queued.items() if s not in named}
+    share = {s: named.get(s) or (1 - sum(named.values())) * queued[s] / sum(spare.values()) for s in queues}
+    counter = {s: int(part[s] * max(r[2] for r in q)) for s, q in queues.items()}
+    want, window = {}, 0
+    while any(queues.values()):
+        for s, q in queues.items():
+            counter[s] += max(1, round(share[s] * 20 * 2048))
+            while q and q[0][2] <= counter[s]:
+                counter[s] -= q[0][2]
+                want[q.pop(0)[0]] = window
+        window += 1
+    assert got == want and window > 5
+
+
 def test_packing_of_nothing_and_of_many_single_sources(spark):
     none = spark.createDataFrame([], "doc_id long, source string, n long")
     assert pack(none, "doc_id", "source", "n").count() == 0
