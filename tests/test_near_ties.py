@@ -7,12 +7,12 @@ from math import log10
 from riverbed.plans.positions import near_ties
 
 SCHEMA = """impact_id long, snapshot_index long, pool_address string, block_number long, current_tick int, position_key string, tick_lower int, tick_upper int, position_liquidity string,
-  active_liquidity_share double, range_width int, distance_to_nearest_edge int, zero_for_one_lsis_bps decimal(38,18), one_for_zero_lsis_bps decimal(38,18), total_lsis_bps decimal(38,18)"""
+  active_liquidity_share double, range_width int, distance_to_lower_tick int, distance_to_upper_tick int, distance_to_nearest_edge int, zero_for_one_lsis_bps decimal(38,18), one_for_zero_lsis_bps decimal(38,18), total_lsis_bps decimal(38,18)"""
 
 
 def found(spark, tmp_path, positions):
     """``positions``: (snapshot, key, share, total)."""
-    rows = [(i, n, "0x" + "ab" * 20, 100 + n, 0, k, -10, 10, "5", s, 20, 10, None, None, None if t is None else Decimal(str(t))) for i, (n, k, s, t) in enumerate(positions)]
+    rows = [(i, n, "0x" + "ab" * 20, 100 + n, 0, k, -10, 10, "5", s, 20, 10, 10, 10, None, None, None if t is None else Decimal(str(t))) for i, (n, k, s, t) in enumerate(positions)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/position_impacts.parquet")
     return [(r.snapshot_index, r.key, r.other, r.score) for r in near_ties(spark, str(tmp_path)).collect()]
 
