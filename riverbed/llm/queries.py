@@ -112,8 +112,8 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading level of every document."""
-    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return reading_levels(documents, read(spark, sf_dir, "reading_labels"), cut=cut)
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "line_boxes")
+    return reading_levels(documents, read(spark, sf_dir, "reading_labels"), boxes="line_boxes", cut=cut)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
