@@ -2,8 +2,8 @@
 
 In a round every vertex moves to the neighbour that comes first in that round's order, itself included; edges then join
 the places that their ends moved to, and what has become a loop or a copy is gone.  A component that has shrunk to one
-vertex has no edge left and takes no part in later rounds.  Even rounds order by the vertices themselves, which settles
-at once the stars around a least vertex that most components are; odd rounds take a random order, so that chains, too,
+vertex has no edge left and takes no part in later rounds.  The first two rounds order by the vertices themselves, which
+settles the stars around a least vertex that most components are; later rounds take random orders, so that chains, too,
 get shorter by a constant share on average.  The moves are composed afterwards, last round first.
 
 The least neighbour is reduced map-side, so a vertex with very many neighbours is one row per partition, and the joins
@@ -21,7 +21,7 @@ from riverbed.session import cut
 def _moves(edges: DataFrame, turn: int) -> DataFrame:
     """``(vertex, place)`` of every vertex that an edge touches."""
     both = edges.select(F.col("u").alias("vertex"), F.col("v").alias("other")).unionByName(edges.select(F.col("v").alias("vertex"), F.col("u").alias("other")))
-    order = (lambda c: F.xxhash64(F.lit(turn), c)) if turn % 2 else F.col
+    order = (lambda c: F.xxhash64(F.lit(turn), c)) if turn > 1 else F.col
     near = both.groupBy("vertex").agg(F.min_by("other", order("other")).alias("near"))
     return near.select("vertex", F.when(order("vertex") < order("near"), F.col("vertex")).otherwise(F.col("near")).alias("place"))
 

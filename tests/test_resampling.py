@@ -13,8 +13,8 @@ from riverbed.plans.statistics import mean_intervals
 
 def test_intervals_of_twenty_thousand_replicates(spark, tmp_path):
     schema = """impact_id long, snapshot_index long, pool_address string, block_number long, current_tick int, position_key string, tick_lower int, tick_upper int, position_liquidity string,
-      active_liquidity_share double, range_width int, distance_to_nearest_edge int, zero_for_one_lsis_bps decimal(38,18), one_for_zero_lsis_bps decimal(38,18), total_lsis_bps decimal(38,18)"""
-    rows = [(i, i, "0x" + "ab" * 20, i, 0, "k", -10, 10, "5", 0.1, 20, 10, Decimal(3 + i % 2), Decimal(1), Decimal(4)) for i in range(60)]
+      active_liquidity_share double, range_width int, distance_to_lower_tick int, distance_to_upper_tick int, distance_to_nearest_edge int, zero_for_one_lsis_bps decimal(38,18), one_for_zero_lsis_bps decimal(38,18), total_lsis_bps decimal(38,18)"""
+    rows = [(i, i, "0x" + "ab" * 20, i, 0, "k", -10, 10, "5", 0.1, 20, 10, 10, 10, Decimal(3 + i % 2), Decimal(1), Decimal(4)) for i in range(60)]
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/position_impacts.parquet")
     (r,) = mean_intervals(spark, str(tmp_path)).collect()
     assert (r.n, r.mean, r.p) == (60, 2.5, 1 / 20_001)
