@@ -91,8 +91,12 @@ _DEPTHS = "depths AS (SELECT pool, snapshot_index, zero_for_one, count(*) AS poi
 #: Common tables that end in ``depths``, the rows of ``grid_depths``.
 GRID = [_PARTS, _GRID, _STEPS, _DEPTHS]
 
+_ALONE = "depth_shares AS (SELECT pool, snapshot_index, key, round(avg(CASE WHEN whole > 0 THEN part / whole END) FILTER (zero_for_one), 9) AS down, round(avg(CASE WHEN whole > 0 THEN part / whole END) FILTER (NOT zero_for_one), 9) AS up FROM (SELECT *, sum(part) OVER (PARTITION BY pool, snapshot_index, zero_for_one, target) AS whole FROM parts) GROUP BY 1, 2, 3)"
+#: Common tables that end in ``depth_shares``.
+DEPTH_SHARES = [_PARTS, _ALONE]
+
 ORACLE = {
     "amount_grids": sql(IMPACTS, _PARTS, _GRID, "SELECT * FROM grid"),
     "grid_depths": sql(IMPACTS, *GRID, "SELECT * FROM depths"),
-    "depth_shares": sql(IMPACTS, _PARTS, "t AS (SELECT *, sum(part) OVER (PARTITION BY pool, snapshot_index, zero_for_one, target) AS whole FROM parts)", "SELECT pool, snapshot_index, key, round(avg(CASE WHEN whole > 0 THEN part / whole END) FILTER (zero_for_one), 9) AS down, round(avg(CASE WHEN whole > 0 THEN part / whole END) FILTER (NOT zero_for_one), 9) AS up FROM t GROUP BY 1, 2, 3"),
+    "depth_shares": sql(IMPACTS, *DEPTH_SHARES, "SELECT * FROM depth_shares"),
 }

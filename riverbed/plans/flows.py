@@ -158,7 +158,7 @@ fl AS (SELECT b.id, horizon, b.tick_start, coalesce(swaps, 0) AS swaps, coalesce
   FROM bs b CROSS JOIN hs LEFT JOIN sw USING (id, horizon) LEFT JOIN lp USING (id, horizon))"""
 _TEXTS = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in AMOUNTS)
 _GROWTH = " UNION ALL ".join(f"SELECT '{c}' AS measure, horizon, CAST({c} AS HUGEINT) AS v, {c} < lag({c}) OVER (PARTITION BY id ORDER BY horizon) AS less FROM fl" for c in COUNTS + AMOUNTS if c != "swaps")
-_MARKET = f"""sn AS (SELECT * FROM snaps WHERE tick IS NOT NULL), heads AS (SELECT pool, max(block_number) AS head FROM sn GROUP BY 1),
+MARKET = f"""sn AS (SELECT * FROM snaps WHERE tick IS NOT NULL), heads AS (SELECT pool, max(block_number) AS head FROM sn GROUP BY 1),
 w AS (SELECT a.id, a.pool, a.block_number, a.tick_lower, a.tick_upper, a.delta, s.tick AS t0, s.sqrt_price_x96 AS p0, s.active_liquidity AS l0 FROM actions a ASOF JOIN sn s ON s.pool = a.pool AND a.block_number >= s.block_number WHERE a.action_type = 2),
 x AS (SELECT w.* EXCLUDE (block_number), w.block_number + horizon AS block_number, horizon FROM w JOIN heads USING (pool), (SELECT unnest({HORIZONS}) AS horizon) WHERE w.block_number + horizon <= head),
 y AS (SELECT x.*, s.tick AS t1, s.sqrt_price_x96 AS p1, s.active_liquidity AS l1, CAST(l0 AS HUGEINT) + CASE WHEN t0 >= tick_lower AND t0 < tick_upper THEN delta ELSE 0 END AS left_ FROM x ASOF JOIN sn s ON s.pool = x.pool AND x.block_number >= s.block_number),
@@ -166,14 +166,18 @@ m AS (SELECT id, horizon, t1 - t0 AS tick_change, abs(t1 - t0) AS tick_distance,
   CASE WHEN t1 < tick_lower THEN 'below_current_tick' WHEN t1 >= tick_upper THEN 'above_current_tick' ELSE 'active' END AS location, t1 >= tick_lower AND t1 < tick_upper AS active,
   CAST(CAST(l1 AS HUGEINT) - left_ AS VARCHAR) AS liquidity_change, round(CASE WHEN left_ > 0 THEN CAST(CAST(l1 AS HUGEINT) - left_ AS DOUBLE) / CAST(left_ AS DOUBLE) END, 9) AS change_fraction FROM y)"""
 
+_FLOW = f"""flows AS (SELECT id, horizon, swaps, zero_for_one, one_for_zero, mints, burns, {_TEXTS}, CAST(in0 + out0 AS VARCHAR) AS volume0, CAST(in1 + out1 AS VARCHAR) AS volume1, CAST(minted - burned AS VARCHAR) AS net, tick_start, coalesce(tick_end, tick_start) AS tick_end,
+  least(lo, tick_start) AS tick_min, greatest(hi, tick_start) AS tick_max, greatest(hi, tick_start) - least(lo, tick_start) AS tick_range, coalesce(tv, 0)::BIGINT AS tick_variation, coalesce(qv, 0)::BIGINT AS tick_squares, coalesce(big, 0) AS tick_step_max FROM fl)"""
+#: Common tables that end in ``flows``, the rows of ``flow_controls``; ``MARKET`` ends in ``m``, those of ``market_controls``.
+FLOWS = [_STEPS, _WINDOWS, _FLOW]
+
 ORACLE = {
-    "flow_controls": sql(ACTIONS, SWAPS, _STEPS, _WINDOWS, f"""SELECT id, horizon, swaps, zero_for_one, one_for_zero, mints, burns, {_TEXTS}, CAST(in0 + out0 AS VARCHAR) AS volume0, CAST(in1 + out1 AS VARCHAR) AS volume1, CAST(minted - burned AS VARCHAR) AS net, tick_start, coalesce(tick_end, tick_start) AS tick_end,
-  least(lo, tick_start) AS tick_min, greatest(hi, tick_start) AS tick_max, greatest(hi, tick_start) - least(lo, tick_start) AS tick_range, coalesce(tv, 0)::BIGINT AS tick_variation, coalesce(qv, 0)::BIGINT AS tick_squares, coalesce(big, 0) AS tick_step_max FROM fl"""),
+    "flow_controls": sql(ACTIONS, SWAPS, *FLOWS, "SELECT * FROM flows"),
     "flow_windows": sql(ACTIONS, SWAPS, EVENTS, f"""j AS (SELECT b.id, e.kind, e.delta, e.amount0, e.amount1, e.tick_after, CASE WHEN e.kind = 'swap' THEN abs(e.tick_after - lag(e.tick_after) OVER (PARTITION BY b.id, e.kind ORDER BY e.block_number, e.log_index)) END AS step
   FROM events b JOIN events e ON e.pool = b.pool AND (e.block_number, e.log_index) > (b.block_number, b.log_index) AND e.block_number <= b.block_number + {HORIZON} WHERE b.kind = 'burn')""", """SELECT b.id, count(*) FILTER (j.kind = 'swap') AS swaps, count(*) FILTER (j.kind = 'mint') AS mints, count(*) FILTER (j.kind = 'burn') AS burns,
   CAST(coalesce(sum(j.amount0) FILTER (j.amount0 > 0), 0)::HUGEINT AS VARCHAR) AS in0, CAST(coalesce(sum(j.amount1) FILTER (j.amount1 > 0), 0)::HUGEINT AS VARCHAR) AS in1, CAST(coalesce(sum(j.delta), 0)::HUGEINT AS VARCHAR) AS net,
   min(j.tick_after) AS tick_min, max(j.tick_after) AS tick_max, coalesce(sum(step), 0) AS tick_variation FROM events b LEFT JOIN j ON j.id = b.id WHERE b.kind = 'burn' GROUP BY b.id"""),
     "flow_growth": sql(ACTIONS, SWAPS, _STEPS, _WINDOWS, f"g AS ({_GROWTH})", "SELECT measure, horizon, CAST(sum(v)::HUGEINT AS VARCHAR) AS total, count(*) FILTER (less) AS violations FROM g GROUP BY 1, 2"),
-    "market_controls": sql(ACTIONS, SNAPSHOTS, _MARKET, "SELECT * FROM m"),
-    "horizon_changes": sql(ACTIONS, SNAPSHOTS, _MARKET, "s AS (SELECT 'all' AS stratum, * FROM m UNION ALL SELECT CASE WHEN active THEN 'active' ELSE 'inactive' END, * FROM m)", "SELECT stratum, horizon, count(*) AS n, round(avg(return_bps), 6) AS mean_return, round(avg(tick_distance), 6) AS mean_distance, round(count(*) FILTER (return_bps > 0) / count(*), 9) AS positive_share FROM s GROUP BY 1, 2"),
+    "market_controls": sql(ACTIONS, SNAPSHOTS, MARKET, "SELECT * FROM m"),
+    "horizon_changes": sql(ACTIONS, SNAPSHOTS, MARKET, "s AS (SELECT 'all' AS stratum, * FROM m UNION ALL SELECT CASE WHEN active THEN 'active' ELSE 'inactive' END, * FROM m)", "SELECT stratum, horizon, count(*) AS n, round(avg(return_bps), 6) AS mean_return, round(avg(tick_distance), 6) AS mean_distance, round(count(*) FILTER (return_bps > 0) / count(*), 9) AS positive_share FROM s GROUP BY 1, 2"),
 }
