@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from riverbed.functions.scalars import block_bin, seeded_score
@@ -75,7 +75,10 @@ def spaced(df: DataFrame, key: str, position: str, spacing: int, cells: int = 25
 
 def pair_cost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of all rows of ``a`` from all rows of ``b``."""
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1))
+    total = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        total += np.subtract.outer(a[:, i], b[:, i]) ** 2
+    return np.sqrt(total)
 
 
 def improve(cost: np.ndarray, partner: np.ndarray) -> np.ndarray:
@@ -92,8 +95,8 @@ def improve(cost: np.ndarray, partner: np.ndarray) -> np.ndarray:
     return partner
 
 
-def _strata(df: DataFrame, key: list[str], name: str, treated: str, features: list[str]) -> DataFrame:
-    return df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.col(name).cast("string").alias("__name"), F.coalesce(F.col(treated), F.lit(False)).alias("__treated"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"__f{i}") for i, f in enumerate(features)]).groupBy(*[f"__k{i}" for i in range(len(key))])
+def _strata(df: DataFrame, key: list[str], name: str, treated: str, features: list[str], at: str | None = None) -> GroupedData:
+    return df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.col(name).cast("string").alias("__name"), F.coalesce(F.col(treated), F.lit(False)).alias("__treated"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"__f{i}") for i, f in enumerate(features)], *([F.col(at).cast("long").alias("__at")] if at else [])).groupBy(*[f"__k{i}" for i in range(len(key))])
 
 
 def _scaled(rows: pd.DataFrame, n: int) -> np.ndarray:
@@ -135,9 +138,10 @@ def matched(df: DataFrame, key: list[str], name: str, treated: str, features: li
     return found.select(F.col("a").alias(name), F.col("b").alias("control"), F.col("d").alias("distance"))
 
 
-def controls(df: DataFrame, key: list[str], name: str, treated: str, features: list[str], caliper: float, per: int = 3, reuse: int = 3) -> DataFrame:
+def controls(df: DataFrame, key: list[str], name: str, treated: str, features: list[str], caliper: float, per: int = 3, reuse: int = 3, apart: tuple[str, int] | None = None) -> DataFrame:
     """``(name, control, choice, distance)``: up to ``per`` controls for each treated row, each used up to ``reuse`` times.
 
+    ``apart`` names a position and how far from a treated row its controls must at least be there.
     Strata, scaling and nulls as in ``matched``.  Treated rows with the fewest controls within the caliper choose
     first, of these the one whose nearest is farthest, then by name; each takes its nearest controls that are still
     to be had.
@@ -151,11 +155,14 @@ def controls(df: DataFrame, key: list[str], name: str, treated: str, features: l
         if not len(t) or not len(c):
             return none
         cost, uses, names, out = pair_cost(x[t], x[c]), np.zeros(len(c), int), rows["__name"].to_numpy(), []
+        if apart:
+            at = rows["__at"].to_numpy()
+            cost[np.abs(np.subtract.outer(at[t], at[c])) < apart[1]] = np.inf
         for i in np.lexsort((names[t].astype(str), -cost.min(1), (cost <= caliper).sum(1))):
             near = [j for j in np.argsort(cost[i], kind="stable") if cost[i, j] <= caliper and uses[j] < reuse][:per]
             uses[near] += 1
             out += [(names[t[i]], names[c[j]], n + 1, float(cost[i, j])) for n, j in enumerate(near)]
         return pd.DataFrame(out, columns=["a", "b", "n", "d"]) if out else none
 
-    found = _strata(df, key, name, treated, features).applyInPandas(choose, "a string, b string, n long, d double")
+    found = _strata(df, key, name, treated, features, apart[0] if apart else None).applyInPandas(choose, "a string, b string, n long, d double")
     return found.select(F.col("a").alias(name), F.col("b").alias("control"), F.col("n").alias("choice"), F.col("d").alias("distance"))

@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riverbed.functions.scalars import location, log1p_of, ratio
-from riverbed.operators.matching import matched
+from riverbed.operators.matching import controls, matched
 from riverbed.operators.ordered import asof
 from riverbed.operators.stats import holm, interpolated_percentiles, wilcoxon
 from riverbed.plans.base import ACTIONS, IMPACTS, SNAPSHOTS, SWAPS, actions, impacts, snapshots, sql
 from riverbed.plans.depths import DEPTH_SHARES, depth_shares
+from riverbed.plans.events import control_candidates
 from riverbed.plans.flows import AMOUNTS, COUNTS, FLOWS, HORIZONS, MARKET, flow_controls, market_controls
-from riverbed.plans.study import SPACING, spaced_burns
+from riverbed.plans.study import CALIPER, spaced_burns
 from riverbed.session import cut
 
 #: Scenarios: so many of the positions of greatest impact, or the fewest of them that hold so many basis points of active liquidity.
 FIRST, PORTIONS = [1, 3, 5], [1000, 2500]
+#: Blocks that a burn and its placebo must be apart.
+SEPARATION = 7200
 KEY = ["id", "horizon"]
 
 
@@ -142,7 +145,50 @@ def pair_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holm(both, ["stratum"], "p", ["horizon"])
 
 
-QUERIES = {f.__name__: f for f in (burn_dataset, burn_directions, missing_outcomes, dataset_summary, burn_readiness, removal_scenarios, scenario_summary, paired_burns, pair_outcomes, pair_statistics)}
+def placebo_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each spaced burn up to three blocks of its pool without liquidity actions nearby at which its state was alike.
+
+    A block serves up to three burns, lies at least ``SEPARATION`` blocks from them, and within the caliper in block, tick
+    and active liquidity.  Of a pool there are no more candidates than its blocks hold strides.
+    """
+    snaps = snapshots(spark, sf_dir).where("tick IS NOT NULL").select("pool", "block_number", F.struct("tick", "active_liquidity").alias("s"))
+    quiet = asof(control_candidates(spark, sf_dir), snaps, "pool", "block_number", "s", out="was").where("was IS NOT NULL")
+    free = quiet.select(F.concat_ws(":", "pool", "block_number").alias("name"), "pool", "block_number", F.col("was.tick").alias("tick"), log1p_of(F.col("was.active_liquidity").cast("double")).alias("log_active"), F.lit(False).alias("burn"))
+    burns = _spaced_states(spark, sf_dir).select(F.col("id").alias("name"), "pool", "block_number", "tick", "log_active", F.lit(True).alias("burn"))
+    found = controls(burns.unionByName(free), ["pool"], "name", "burn", ["block_number", "tick", "log_active"], CALIPER, apart=("block_number", SEPARATION))
+    at = F.split("control", ":")
+    return found.select(F.col("name").alias("id"), at[0].alias("pool"), at[1].cast("long").alias("control_block"), "choice", "distance")
+
+
+def placebo_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far tick and price went after each burn, and on average after its placebos, by horizon.
+
+    Only placebos whose horizon the pool's states reach count; burns without any are left out.
+    """
+    snaps = cut(snapshots(spark, sf_dir).where("tick IS NOT NULL").select("pool", "block_number", F.struct("tick", F.col("sqrt_price_x96").alias("price")).alias("s")))
+    head = snaps.groupBy("pool").agg(F.max("block_number").alias("head"))
+    m = cut(placebo_matches(spark, sf_dir))
+    blocks = m.select("pool", F.col("control_block").alias("block_number")).distinct()
+    was = asof(blocks, snaps, "pool", "block_number", "s", out="was").withColumnRenamed("block_number", "control_block")
+    due = was.join(head, "pool").withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in HORIZONS]))).withColumn("block_number", F.col("control_block") + F.col("horizon")).where("block_number <= head")
+    now = asof(due, snaps, "pool", "block_number", "s", out="now")
+    size = F.abs(F.pow(F.col("now.price").cast("double") / F.col("was.price").cast("double"), F.lit(2.0)) - 1) * 10_000
+    after = now.select("pool", "control_block", "horizon", size.alias("return"), F.abs(F.col("now.tick") - F.col("was.tick")).alias("distance"))
+    placebo = m.drop("distance").join(after, ["pool", "control_block"]).groupBy(*KEY).agg(F.count("*").alias("placebos"), F.avg("return").alias("placebo_return"), F.avg("distance").alias("placebo_distance"))
+    own = market_controls(spark, sf_dir).select(*KEY, "return_size_bps", "tick_distance")
+    return own.join(placebo, KEY).select(*KEY, "placebos", "return_size_bps", F.round("placebo_return", 6).alias("placebo_return"), F.round(F.col("return_size_bps") - F.col("placebo_return"), 6).alias("excess_return"), (F.col("tick_distance") - F.col("placebo_distance")).alias("excess_distance"))
+
+
+def placebo_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, mean and median of the excess over placebos and its signed-rank test, by horizon."""
+    o = cut(placebo_outcomes(spark, sf_dir).select(F.col("horizon").cast("string").alias("horizon"), "excess_return"))
+    g = o.groupBy("horizon").agg(F.round(F.avg("excess_return"), 6).alias("mean"), F.round(F.count_if(F.col("excess_return") > 0) / F.count("*"), 9).alias("positive_share"))
+    median = interpolated_percentiles(o, "horizon", "excess_return", [0.5]).select("horizon", "n", F.round("q0", 6).alias("median"))
+    t = wilcoxon(o, "horizon", "excess_return").select("horizon", "z", "p")
+    return holm(g.join(median, "horizon").join(t, "horizon", "left").withColumn("family", F.lit("placebo")), ["family"], "p", ["horizon"]).drop("family")
+
+
+QUERIES = {f.__name__: f for f in (burn_dataset, burn_directions, missing_outcomes, dataset_summary, burn_readiness, removal_scenarios, scenario_summary, paired_burns, pair_outcomes, pair_statistics, placebo_matches, placebo_outcomes, placebo_statistics)}
 
 _MARKET_COLUMNS = ["tick_change", "tick_distance", "return_bps", "return_size_bps", "location", "active", "liquidity_change", "change_fraction"]
 _FLOW_COLUMNS = [*COUNTS, *AMOUNTS, "volume0", "volume1", "net", "tick_start", "tick_end", "tick_min", "tick_max", "tick_range", "tick_variation", "tick_squares", "tick_step_max"]

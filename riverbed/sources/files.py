@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,10 +45,15 @@ def exact_raw(amount: str, decimals: str):
     return F.when(bare.rlike(r"^[0-9]+(\.[0-9]*)?$") & (F.length(part) <= d), F.when(digits == "0", digits).otherwise(F.concat(sign, digits)))
 
 
-def one_manifest(folder: str, pattern: str = "*_manifest.csv") -> tuple[str, dict[str, Path]]:
-    """The stem of the only manifest in a folder and its sibling files by the rest of their names."""
-    found = sorted(Path(folder).glob(pattern))
+def one_manifest(spark: SparkSession, folder: str, ending: str = "_manifest.csv") -> tuple[str, dict[str, str]]:
+    """The stem of the only manifest in a folder and the paths of its sibling files by the rest of their names.
+
+    The folder is listed in the file system that its path names, so it may be one that a cluster shares.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = sorted(f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
+    found = [n for n in names if n.endswith(ending)]
     if len(found) != 1:
-        raise ValueError(f"{len(found)} files like {pattern} in {folder}, not one")
-    stem = found[0].name.removesuffix(pattern.lstrip("*"))
-    return stem, {p.name[len(stem) + 1 : -4]: p for p in sorted(Path(folder).glob(f"{stem}_*.csv"))}
+        raise ValueError(f"{len(found)} files that end in {ending} in {folder}, not one")
+    stem = found[0].removesuffix(ending)
+    return stem, {n[len(stem) + 1 : -4]: f"{folder}/{n}" for n in names if n.startswith(f"{stem}_") and n.endswith(".csv")}

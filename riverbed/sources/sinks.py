@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverbed.operators.ordered import first_per
+from riverbed.session import cut
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -31,9 +30,8 @@ def append_window(df: DataFrame, path: str, first: int, last: int, block: str =
     """
     spark = df.sparkSession
     if exists(spark, path):
-        edges = [r for r in spark.read.parquet(path).select("window_first", "window_last").distinct().collect()]
-        others = [r for r in edges if (r.window_first, r.window_last) != (first, last)]
-        before = max((r.window_last for r in others if r.window_first < first), default=None)
+        others = spark.read.parquet(path).where((F.col("window_first") != first) | (F.col("window_last") != last))
+        before = others.where(F.col("window_first") < first).agg(F.max("window_last")).first()[0]
         if before is not None and before != first - 1:
             raise ValueError(f"window starts at {first}, not at {before + 1}")
     if df.where(~F.coalesce(F.col(block).between(first, last), F.lit(False))).limit(1).count():
@@ -42,14 +40,17 @@ def append_window(df: DataFrame, path: str, first: int, last: int, block: str =
 
 
 def insert_ignore(df: DataFrame, path: str, key: list[str]) -> int:
-    """Append the rows whose key the table lacks, one of each key; returns how many."""
+    """Append the rows whose key the table lacks, one of each key, the least by all its columns; returns how many.
+
+    A table has one writer at a time.
+    """
     spark = df.sparkSession
-    new = df.dropDuplicates(key)
+    new = first_per(df, key, df.columns)
     if exists(spark, path):
         new = new.join(spark.read.parquet(path).select(*key), key, "left_anti").select(*df.columns)
-    before = spark.read.parquet(path).count() if exists(spark, path) else 0
+    new = cut(new)
     new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    return new.count()
 
 
 def upsert(df: DataFrame, path: str, key: list[str], latest: list[str | Column], target: str) -> None:
@@ -74,8 +75,12 @@ def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
     fs.delete(at(part), True)
 
 
-def write_json(value: dict, path: str) -> None:
-    """A small document, indented, complete or not there at all."""
-    with tempfile.NamedTemporaryFile("w", dir=os.path.dirname(os.path.abspath(path)), suffix=".part", delete=False) as f:
-        json.dump(value, f, indent=2, sort_keys=True)
-    os.replace(f.name, path)
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """A small document, indented, complete or not there at all, in the file system that the path names."""
+    fs, at = _file_system(spark, path)
+    part = at(f"{path}.part-{uuid.uuid4().hex}")
+    out = fs.create(part)
+    out.write(bytearray(json.dumps(value, indent=2, sort_keys=True).encode()))
+    out.close()
+    fs.delete(at(path), False)
+    fs.rename(part, at(path))

@@ -32,14 +32,14 @@ def test_responses(spark, tmp_path):
         read_responses(spark, str(tmp_path / "e.json"), SCHEMA, "mints")
 
 
-def test_manifest(tmp_path):
+def test_manifest(spark, tmp_path):
     for n in ("run_manifest.csv", "run_pairs.csv"):
         (tmp_path / n).write_text("")
-    stem, files = one_manifest(str(tmp_path))
+    stem, files = one_manifest(spark, str(tmp_path))
     assert stem == "run" and set(files) == {"manifest", "pairs"}
     (tmp_path / "other_manifest.csv").write_text("")
     with pytest.raises(ValueError):
-        one_manifest(str(tmp_path))
+        one_manifest(spark, str(tmp_path))
 
 
 def test_windows_join_and_repeat(spark, tmp_path):
@@ -60,7 +60,7 @@ def test_insert_and_upsert(spark, tmp_path):
     assert insert_ignore(df, path, ["a"]) == 2 and insert_ignore(df, path, ["a"]) == 0
     upsert(spark.createDataFrame([(1, "zz"), (3, "new")], SCHEMA), path, ["a"], [F.desc("b")], str(tmp_path / "u"))
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "u")).collect()} == {(1, "zz"), (2, "x"), (3, "new")}
-    write_json({"b": 1}, str(tmp_path / "c.json"))
+    write_json(spark, {"b": 1}, str(tmp_path / "c.json"))
     assert (tmp_path / "c.json").read_text().startswith("{")
 
 
