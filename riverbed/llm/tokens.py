@@ -29,8 +29,10 @@ TOKENIZERS = os.environ.get("RIVERBED_TOKENIZERS", "/opt/tokenizers")
 #: The pattern that splits text before merges are applied (fixed value of the public vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Texts split at once, words and pairs remembered by a worker before it forgets and starts anew.
-SLICE, MOST_WORDS, MOST_PAIRS = 256, 400_000, 400_000
+#: Texts split at once; words, pairs and nodes of the trie remembered by a worker before it forgets and starts anew.
+SLICE, MOST_WORDS, MOST_PAIRS, MOST_NODES = 256, 400_000, 400_000, 1_000_000
+#: Bytes of the longest prefixes that stay as nodes.
+DEEPEST = 64
 
 #: Characters after which a long text is cut at the next place between two words.
 SPAN = 1 << 20
@@ -69,6 +71,7 @@ class TrieEncoder:
         self.known: dict[str, bytes] = {}
         self.edges: dict[int, dict[int, list[tuple[bytes, float]]]] = {0: {}, -1: {}}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.nodes: dict[bytes, tuple[int, int]] = {}
 
     def merged(self, word: bytes, most: float = float("inf")) -> list[bytes]:
         """The plain merge loop, with the tokens below ``most`` only."""
@@ -107,8 +110,14 @@ class TrieEncoder:
         return fits
 
     def learn(self, words: Iterable[str]) -> None:
-        """Walk the trie of ``words`` and remember their encodings."""
-        ranks, longest, together = self.ranks, self.longest, self.together
+        """Walk the trie of ``words`` depth first and remember their encodings.
+
+        A node is a prefix with its last token and that token's length.  Nodes stay from one call to the next, so a prefix
+        that words of other texts share is not computed again.
+        """
+        ranks, longest, together, nodes = self.ranks, self.longest, self.together, self.nodes
+        if len(nodes) > MOST_NODES:
+            nodes.clear()
         last, size = [-1], [0]  # by depth: the last token of the prefix and its length
         before = b""
         for word, text in sorted((w.encode("utf-8", "replace"), w) for w in words):
@@ -119,12 +128,17 @@ class TrieEncoder:
             depth = len(os.path.commonprefix((before, word)))
             del last[depth + 1 :], size[depth + 1 :]
             for end in range(depth + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ranks.get(word[start:end])
-                    if token is not None and (start == 0 or together(last[start], token)):
-                        last.append(token)
-                        size.append(end - start)
-                        break
+                node = nodes.get(word[:end]) if end <= DEEPEST else None
+                if node is None:
+                    for start in range(max(0, end - longest), end):
+                        token = ranks.get(word[start:end])
+                        if token is not None and (start == 0 or together(last[start], token)):
+                            node = token, end - start
+                            if end <= DEEPEST:
+                                nodes[word[:end]] = node
+                            break
+                last.append(node[0])
+                size.append(node[1])
             before = word
             ids, end = [], len(word)
             while end:
