@@ -33,7 +33,7 @@ def _numbered_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(s.join(before, ["pool", "swap_no"], "left").withColumn("step", F.abs(F.col("tick") - F.col("tick_before")).cast("long")).drop("tick_before"))
 
 
-def _totals(spark: SparkSession, sf_dir: str, s: DataFrame) -> DataFrame:
+def _totals(events: DataFrame, s: DataFrame) -> DataFrame:
     """Per place of a pool the totals up to it, and the tick after the last swap so far."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     zero = F.lit(0).cast("decimal(38,0)")
@@ -45,7 +45,7 @@ def _totals(spark: SparkSession, sf_dir: str, s: DataFrame) -> DataFrame:
         part("amount0", 1).alias("in0"), part("amount0", -1).alias("out0"), part("amount1", 1).alias("in1"), part("amount1", -1).alias("out1"), zero.alias("minted"), zero.alias("burned"),
         F.col("step").alias("tick_variation"), (F.col("step") * F.col("step")).alias("tick_squares"), F.struct("block_number", "log_index", "tick").alias("last"),
     )
-    a = actions(spark, sf_dir).where("pool IS NOT NULL AND block_number IS NOT NULL AND log_index IS NOT NULL")
+    a = events.where("pool IS NOT NULL AND block_number IS NOT NULL AND log_index IS NOT NULL")
     held = a.select(*PLACE, flag(F.col("action_type") == 1).alias("mints"), flag(F.col("action_type") == 2).alias("burns"), part("delta", 1).alias("minted"), part("delta", -1).alias("burned"))
     both = moved.unionByName(held, allowMissingColumns=True).groupBy(*PLACE).agg(*[F.coalesce(F.sum(c).cast("decimal(38,0)" if c in AMOUNTS else "long"), F.lit(0)).alias(c) for c in COUNTS + AMOUNTS + PATH], F.max("last").alias("last"))
     return cut(running_totals(both, ["pool"], PLACE[1:], COUNTS + AMOUNTS + PATH, also_max=["last"]).select(*PLACE, F.struct("log_index", *[F.col(f"{c}_upto").alias(c) for c in COUNTS + AMOUNTS + PATH], F.col("last_upto.tick").alias("tick")).alias("upto")))
@@ -54,8 +54,9 @@ def _totals(spark: SparkSession, sf_dir: str, s: DataFrame) -> DataFrame:
 def _flows(spark: SparkSession, sf_dir: str, horizons: list[int]) -> tuple[DataFrame, DataFrame]:
     """Burns by horizon with the totals at the burn, ``own``, and at the horizon, ``state``; and the numbered swaps."""
     s = _numbered_swaps(spark, sf_dir)
-    t = _totals(spark, sf_dir, s)
-    b = actions(spark, sf_dir).where("action_type = 2").select("id", *PLACE).join(t.withColumnRenamed("upto", "own"), PLACE, "left")
+    a = cut(actions(spark, sf_dir).select("id", *PLACE, "action_type", "delta"))
+    t = _totals(a, s)
+    b = a.where("action_type = 2").select("id", *PLACE).join(t.withColumnRenamed("upto", "own"), PLACE, "left")
     due = b.select("id", "pool", "own", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon"), "block_number").withColumn("block_number", F.col("block_number") + F.col("horizon"))
     return asof(due, t, "pool", "block_number", "upto"), s
 
