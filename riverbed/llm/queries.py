@@ -12,6 +12,7 @@ from riverbed.llm.percentiles import exact_percentiles, interval_counts, merge_c
 from riverbed.llm.reading import reading_levels
 from riverbed.llm.tokens import token_counts, token_ids
 from riverbed.llm.topn import parts_of, top_n
+from riverbed.plans.base import BLANK, address_sql
 from riverbed.session import cut, read
 
 #: Blocks within which a snapshot belongs to an action.
@@ -121,14 +122,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_levels(spark, sf_dir).where(F.col("running") & (F.col("level") >= SCHOOLING)).select("doc_id")
 
 
-_BLANK = r"E' \t\r\n'"
-
-
-def _address(c: str) -> str:
-    t = f"lower(trim({c}, {_BLANK}))"
-    return f"CASE WHEN {t} LIKE '0x%' THEN {t} WHEN {t} <> '' THEN '0x' || {t} END"
-
-
 def _ranked(table: str, value: str) -> str:
     where = f"isfinite({value})" if value == "amount_usd" else f"{value} IS NOT NULL"
     pick = "max(CASE WHEN rn = greatest(1, (n * {0} + 999) // 1000) THEN v END)"
@@ -136,23 +129,23 @@ def _ranked(table: str, value: str) -> str:
     picks = ", ".join(f"CAST({pick.format(p)} AS DOUBLE) AS p{p}, CAST({exact.format(p)} AS DECIMAL(38,18)) AS exact_p{p}" for p in PERMILLE)
     return f"""SELECT g AS pool_address, '{value}' AS measure, n AS row_count, {picks} FROM (
   SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) AS rn, count(*) OVER (PARTITION BY g) AS n
-  FROM (SELECT {_address('pool_address')} AS g, {value}{' + 0.0::DOUBLE' if value == 'amount_usd' else ''} AS v FROM {table} WHERE {where})) GROUP BY g, n"""
+  FROM (SELECT {address_sql('pool_address')} AS g, {value}{' + 0.0::DOUBLE' if value == 'amount_usd' else ''} AS v FROM {table} WHERE {where})) GROUP BY g, n"""
 
 
 QUERIES = {"p2_found": p2_found, "p3_percentiles": p3_percentiles, "p3_combined": p3_combined, "p3_daily": p3_daily, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_segments": p7_segments, "p7_fill": p7_fill, "p7_mixture": p7_mixture, "p8_found": p8_found, "p8_levels": p8_levels}
 
 ORACLE = {
     "p2_found": f"""
-WITH a AS (SELECT delivery_id, {_address('pool_address')} AS pool, block_number AS b FROM lp_actions),
-s AS (SELECT DISTINCT {_address('pool_address')} AS pool, block_number AS b FROM pool_snapshots),
+WITH a AS (SELECT delivery_id, {address_sql('pool_address')} AS pool, block_number AS b FROM lp_actions),
+s AS (SELECT DISTINCT {address_sql('pool_address')} AS pool, block_number AS b FROM pool_snapshots),
 c AS (SELECT a.delivery_id, s.b, row_number() OVER (PARTITION BY a.delivery_id ORDER BY abs(s.b - a.b), s.b) AS rn
   FROM a JOIN s ON s.pool = a.pool AND s.b BETWEEN a.b - {TOLERANCE} AND a.b + {TOLERANCE})
 SELECT delivery_id, b AS snapshot_block FROM c WHERE rn = 1""",
     "p3_percentiles": _ranked("lp_actions", "amount_usd") + " UNION ALL " + _ranked("position_impacts", "total_lsis_bps"),
     "p3_combined": _ranked("lp_actions", "amount_usd"),
     "p5_found": f"""
-WITH d AS (SELECT *, lower(trim(position_key, {_BLANK})) AS k, row_number() OVER (
-    PARTITION BY lower(trim(position_key, {_BLANK})), {_address('pool_address')}, snapshot_index ORDER BY impact_id) AS copy FROM position_impacts),
+WITH d AS (SELECT *, lower(trim(position_key, {BLANK})) AS k, row_number() OVER (
+    PARTITION BY lower(trim(position_key, {BLANK})), {address_sql('pool_address')}, snapshot_index ORDER BY impact_id) AS copy FROM position_impacts),
 r AS (SELECT impact_id, row_number() OVER (PARTITION BY k ORDER BY total_lsis_bps DESC, block_number, impact_id) AS rn
   FROM d WHERE copy = 1 AND total_lsis_bps IS NOT NULL)
 SELECT impact_id FROM r WHERE rn <= 3""",
