@@ -35,15 +35,19 @@ def kept_deliveries(pairs: DataFrame) -> DataFrame:
     return pairs.select("delivery").join(lost, "delivery", "left_anti")
 
 
-def single_actions(df: DataFrame, columns: list[str], **names: str) -> DataFrame:
+def single_actions(df: DataFrame, columns: list[str], narrow: bool = False, **names: str) -> DataFrame:
     """``columns`` of one row of each action of a table at rest, that of its first delivery.
 
     The rows go through one shuffle by pair of identifiers, reduced before it; what other pairs of the same action hold
-    is then taken out by the few deliveries that components name.  Rows without a delivery number are left out.
+    is then taken out by the few deliveries that components name.  Pairs are a shuffle of their own, so that ``columns``
+    need not be kept; with ``narrow`` they are kept with the pairs, for columns that are no wider.  Rows without a
+    delivery number are left out.
     """
-    lost = _linked(cut(batch_pairs(df, **names))).where("vertex <> component").select(F.col("vertex").alias("delivery"))
-    rows = delivery_keys(df, also=[F.struct(*columns).alias("row")], **names)
-    return first_per(rows, PAIR, ["delivery"]).join(lost, "delivery", "left_anti").select("row.*")
+    rows = first_per(delivery_keys(df, also=[F.struct(*columns).alias("row")], **names), PAIR, ["delivery"])
+    rows = cut(rows) if narrow else rows
+    pairs = rows.select(*PAIR, "delivery") if narrow else cut(batch_pairs(df, **names))
+    lost = _linked(pairs).where("vertex <> component").select(F.col("vertex").alias("delivery"))
+    return rows.join(lost, "delivery", "left_anti").select("row.*")
 
 
 def with_actions(df: DataFrame, also: list[str], **columns: str) -> DataFrame:

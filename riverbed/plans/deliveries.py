@@ -25,7 +25,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     Actions without a pool count towards the total but are no pool.
     """
     feed = read(spark, sf_dir, "lp_actions").select("delivery_id", "id", clean_address("pool_address").alias("pool_address"), "block_number", "log_index")
-    totals = cut(per_key_totals(single_actions(feed, ["delivery_id", "pool_address"]), "pool_address", "delivery_id"))
+    totals = cut(per_key_totals(single_actions(feed, ["delivery_id", "pool_address"], narrow=True), "pool_address", "delivery_id"))
     whole = totals.agg(F.sum("item_count").alias("whole"))
     return totals.crossJoin(F.broadcast(whole)).where(F.col("pool_address").isNotNull() & (F.col("item_count") >= F.col("whole") * HOT_SHARE)).select("pool_address")
 

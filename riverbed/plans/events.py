@@ -9,7 +9,7 @@ from riverbed.functions.keys import clean_address, clean_key
 from riverbed.functions.scalars import SPACING, direction, seeded_score, slug, spacing_of
 from riverbed.operators.chunks import number_rows
 from riverbed.operators.ordered import asof, conflicts, first_per, neighbours
-from riverbed.plans.base import ACTIONS, SNAPSHOTS, SWAPS, actions, address_sql, key_sql, snapshots, sql, swaps
+from riverbed.plans.base import ACTIONS, SNAPSHOTS, SWAPS, actions, address_sql, snapshots, sql, swaps
 from riverbed.session import cut, read
 
 #: Blocks that must be free around a quiet one; blocks not yet safe.

@@ -102,6 +102,7 @@ def test_single_actions(spark, seed):
     rows = feed(seed)
     got = single_actions(spark.createDataFrame(rows, SCHEMA), ["delivery_id", "extra"]).collect()
     assert sorted(r.delivery_id for r in got) == sorted(brute(rows)) and set(got[0].asDict()) == {"delivery_id", "extra"}
+    assert sorted(got) == sorted(single_actions(spark.createDataFrame(rows, SCHEMA), ["delivery_id", "extra"], narrow=True).collect())
 
 
 def test_stream_of_nothing(spark, tmp_path):
