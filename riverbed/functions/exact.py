@@ -32,3 +32,13 @@ def exact_cents(c: Column | str) -> Column:
     high = F.floor(cents / float(_LIMB))
     low = cents - high.cast("double") * float(_LIMB)
     return (high.cast("decimal(20,0)") * F.lit(_LIMB).cast("decimal(10,0)") + low.cast("long").cast("decimal(12,0)")).cast("decimal(36,0)")
+
+
+def mean_down(c: Column | str) -> Column:
+    """The mean of numbers with up to six decimal places, rounded down to six: from an exact sum, whatever the order."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(F.sum(F.round(c.cast("double") * 1_000_000).cast("long")) / F.count(c)) / 1_000_000
+
+
+def mean_down_sql(c: str) -> str:
+    return f"floor(sum(CAST(round(CAST({c} AS DOUBLE) * 1000000) AS BIGINT)) / count({c})) / 1000000"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riverbed.functions.exact import mean_down, mean_down_sql
 from riverbed.functions.scalars import location, log1p_of, ratio
 from riverbed.operators.matching import controls, matched
 from riverbed.operators.ordered import asof
@@ -54,7 +55,7 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("return_bps")
     return d.groupBy("pool", "horizon").agg(
         F.count("*").alias("expected"), F.count_if("observed").alias("observed"), F.count_if(~F.col("observed")).alias("missing"), F.round(F.count_if("observed") * 100 / F.count("*"), 6).alias("observed_percent"),
-        F.count_if(r > 0).alias("positive"), F.count_if(r <= 0).alias("not_positive"), F.round(F.avg(r), 6).alias("mean_return"), F.round(F.max(F.abs(r)), 6).alias("largest_return"), F.round(F.avg("swaps"), 6).alias("mean_swaps"),
+        F.count_if(r > 0).alias("positive"), F.count_if(r <= 0).alias("not_positive"), mean_down(r).alias("mean_return"), F.round(F.max(F.abs(r)), 6).alias("largest_return"), F.round(F.avg("swaps"), 6).alias("mean_swaps"),
     )
 
 
@@ -203,8 +204,8 @@ ORACLE = {
     "burn_dataset": sql(*_DATASET, "SELECT * FROM dataset"),
     "burn_directions": sql(*_DATASET, "SELECT id, horizon, 'zero_for_one' AS direction, zero_for_one AS trades, in0 AS paid, out1 AS got FROM dataset WHERE observed UNION ALL SELECT id, horizon, 'one_for_zero', one_for_zero, in1, out0 FROM dataset WHERE observed"),
     "missing_outcomes": sql(ACTIONS, SNAPSHOTS, "r AS (SELECT pool, min(block_number) AS lo, max(block_number) AS hi FROM snaps WHERE tick IS NOT NULL GROUP BY 1)", f"w AS (SELECT id, horizon, CASE WHEN pool IS NULL THEN 'no_pool' WHEN lo IS NULL OR block_number < lo THEN 'no_state_before' WHEN block_number + horizon > hi THEN 'beyond_last_state' END AS reason FROM actions LEFT JOIN r USING (pool), (SELECT unnest({HORIZONS}) AS horizon) WHERE action_type = 2)", "SELECT * FROM w WHERE reason IS NOT NULL"),
-    "dataset_summary": sql(*_DATASET, "p AS (SELECT d.*, unnest(['all', coalesce(a.pool, 'none')]) AS pool FROM dataset d JOIN (SELECT id, pool FROM actions WHERE action_type = 2) a USING (id))", """SELECT pool, horizon, count(*) AS expected, count(*) FILTER (observed) AS observed, count(*) FILTER (NOT observed) AS missing, round(count(*) FILTER (observed) * 100 / count(*), 6) AS observed_percent,
-  count(*) FILTER (return_bps > 0) AS positive, count(*) FILTER (return_bps <= 0) AS not_positive, round(avg(return_bps), 6) AS mean_return, round(max(abs(return_bps)), 6) AS largest_return, round(avg(swaps), 6) AS mean_swaps FROM p GROUP BY 1, 2"""),
+    "dataset_summary": sql(*_DATASET, "p AS (SELECT d.*, unnest(['all', coalesce(a.pool, 'none')]) AS pool FROM dataset d JOIN (SELECT id, pool FROM actions WHERE action_type = 2) a USING (id))", f"""SELECT pool, horizon, count(*) AS expected, count(*) FILTER (observed) AS observed, count(*) FILTER (NOT observed) AS missing, round(count(*) FILTER (observed) * 100 / count(*), 6) AS observed_percent,
+  count(*) FILTER (return_bps > 0) AS positive, count(*) FILTER (return_bps <= 0) AS not_positive, {mean_down_sql("return_bps")} AS mean_return, round(max(abs(return_bps)), 6) AS largest_return, round(avg(swaps), 6) AS mean_swaps FROM p GROUP BY 1, 2"""),
     "burn_readiness": sql(ACTIONS, SNAPSHOTS, MARKET, "o AS (SELECT id, string_agg(horizon, ',' ORDER BY horizon) AS horizons, count(*) AS n FROM m GROUP BY 1)", "b AS (SELECT id, pool, block_number FROM actions WHERE action_type = 2 AND pool IS NOT NULL)", "g AS (SELECT b.id, b.block_number - max(x.block_number) AS gap FROM b LEFT JOIN (SELECT DISTINCT pool, block_number FROM b) x ON x.pool = b.pool AND x.block_number < b.block_number GROUP BY b.id, b.block_number)", f"SELECT id, coalesce(horizons, '') AS horizons, gap, coalesce(n, 0) = {len(HORIZONS)} AS whole, coalesce(gap > {max(HORIZONS)}, true) AS apart, coalesce(n, 0) = {len(HORIZONS)} AND coalesce(gap > {max(HORIZONS)}, true) AS ready FROM g LEFT JOIN o USING (id)"),
     "removal_scenarios": sql(IMPACTS, *DEPTH_SHARES, _SCENARIOS, "SELECT * FROM scenarios"),
     "scenario_summary": sql(IMPACTS, *DEPTH_SHARES, _SCENARIOS, "SELECT scenario, count(*) AS states, round(avg(positions), 6) AS mean_positions, round(avg(share), 6) AS mean_share, round(quantile_cont(share, 0.5), 6) AS median_share FROM scenarios WHERE reached GROUP BY 1"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riverbed.functions.exact import mean_down, mean_down_sql
 from riverbed.functions.scalars import direction, location
 from riverbed.operators.chunks import number_rows
 from riverbed.operators.ordered import asof, range_extremes, running_totals
@@ -142,7 +143,7 @@ def market_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def horizon_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Market controls over overlapping groups: all burns, and those whose range is active or not at the horizon."""
     m = market_controls(spark, sf_dir).withColumn("stratum", F.explode(F.array(F.lit("all"), F.when(F.col("active"), "active").otherwise("inactive"))))
-    return m.groupBy("stratum", "horizon").agg(F.count("*").alias("n"), F.round(F.avg("return_bps"), 6).alias("mean_return"), F.round(F.avg("tick_distance"), 6).alias("mean_distance"), F.round(F.count_if(F.col("return_bps") > 0) / F.count("*"), 9).alias("positive_share"))
+    return m.groupBy("stratum", "horizon").agg(F.count("*").alias("n"), mean_down("return_bps").alias("mean_return"), mean_down("tick_distance").alias("mean_distance"), F.round(F.count_if(F.col("return_bps") > 0) / F.count("*"), 9).alias("positive_share"))
 
 
 QUERIES = {f.__name__: f for f in (flow_controls, flow_windows, flow_growth, market_controls, horizon_changes)}
@@ -180,5 +181,5 @@ ORACLE = {
   min(j.tick_after) AS tick_min, max(j.tick_after) AS tick_max, coalesce(sum(step), 0) AS tick_variation FROM events b LEFT JOIN j ON j.id = b.id WHERE b.kind = 'burn' GROUP BY b.id"""),
     "flow_growth": sql(ACTIONS, SWAPS, _STEPS, _WINDOWS, f"g AS ({_GROWTH})", "SELECT measure, horizon, CAST(sum(v)::HUGEINT AS VARCHAR) AS total, count(*) FILTER (less) AS violations FROM g GROUP BY 1, 2"),
     "market_controls": sql(ACTIONS, SNAPSHOTS, MARKET, "SELECT * FROM m"),
-    "horizon_changes": sql(ACTIONS, SNAPSHOTS, MARKET, "s AS (SELECT 'all' AS stratum, * FROM m UNION ALL SELECT CASE WHEN active THEN 'active' ELSE 'inactive' END, * FROM m)", "SELECT stratum, horizon, count(*) AS n, round(avg(return_bps), 6) AS mean_return, round(avg(tick_distance), 6) AS mean_distance, round(count(*) FILTER (return_bps > 0) / count(*), 9) AS positive_share FROM s GROUP BY 1, 2"),
+    "horizon_changes": sql(ACTIONS, SNAPSHOTS, MARKET, "s AS (SELECT 'all' AS stratum, * FROM m UNION ALL SELECT CASE WHEN active THEN 'active' ELSE 'inactive' END, * FROM m)", f"SELECT stratum, horizon, count(*) AS n, {mean_down_sql('return_bps')} AS mean_return, {mean_down_sql('tick_distance')} AS mean_distance, round(count(*) FILTER (return_bps > 0) / count(*), 9) AS positive_share FROM s GROUP BY 1, 2"),
 }
