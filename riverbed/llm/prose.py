@@ -13,9 +13,11 @@ matter for the averages taken here.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 from math import log
+from operator import itemgetter
 
 import numpy as np
 
@@ -27,7 +29,7 @@ JOINING = frozenset("which who whom whose that because although though while whe
 
 _GUTTER = re.compile(r"\s+\|\s+|\s{2,}|\t")
 _SMALL = re.compile(r"[a-zà-ÿſ]{3}")
-_LOOKS = re.compile(r"[£\d](?:[\d,. ]*\d)? ?(?:[sd]\b|/\d)|£|!!|^[A-Z]{2,}(?: [A-Z]{2,})*[,.;:]")
+_LOOKS = re.compile(r"[£\d](?:[\d,. ]*\d)? ?(?:[sd]\b|/\d)|£|!!|^[A-Z]{2,}(?: [A-Z]{2,})*[,.;:]", re.M)
 _BREAK = re.compile(r"[-=¬‐­‑–]\s*\n\s*")
 _WORD = re.compile(r"[a-zà-ÿſﬁﬂ]+")
 #: An end of a sentence: a mark that follows no title and no initial, before a capital (the blank may be lost) or at the end of a line.
@@ -48,12 +50,23 @@ class Lexicon:
     """What a corpus says of its words: log-odds of advertisements over articles and of English over other languages, rarity."""
 
     words: dict[str, tuple[float, float, float]] = field(default_factory=dict)
+    _rows: _Rows | None = field(default=None, repr=False, compare=False)
 
     def advert(self, line: str) -> float:
         """Mean log-odds of the known words of a line, 0 where none is known."""
         odds = [w[0] for w in map(self.words.get, _WORD.findall(line.lower())) if w]
         return sum(odds) / len(odds) if odds else 0.0
 
+    def sums(self, words: list[str]) -> list[float]:
+        """Sums of what ``_words`` and the lexicon (how many are known, their log-odds for English, their rarity) have of words."""
+        if self._rows is None or len(self._rows) > 200_000:
+            self._rows = _Rows(self.words)
+        at = list(map(self._rows.__getitem__, words))
+        return sum(self._rows.table[at[i : i + 10_000]].sum(0) for i in range(0, len(at), 10_000)).tolist()
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_rows": None}
+
 
 def learned(counts: list[tuple[str, int, int, int, int]]) -> Lexicon:
     """From ``(word, in adverts, in articles, in English, in other languages)``, with a count of 1 added to each."""
@@ -87,6 +100,23 @@ class _Words(dict):
 _words = _Words()
 
 
+class _Rows(dict):
+    """The row of ``table`` for each word seen: what ``_words`` and a lexicon have of it."""
+
+    def __init__(self, lexicon: dict[str, tuple[float, float, float]]) -> None:
+        super().__init__()
+        self.lexicon, self.table = lexicon, np.empty((1024, 9))
+
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        found = self.lexicon.get(word)
+        self.table[at] = (*_words[word], *((1, found[1], found[2]) if found else (0, 0, 0)))
+        self[word] = at
+        return at
+
+
 def lines_in_order(text: str, x0: np.ndarray | None = None, x1: np.ndarray | None = None) -> list[tuple[str, bool]]:
     """Lines column by column, those set across columns in their parts; and whether each is short for its column.
 
@@ -96,15 +126,18 @@ def lines_in_order(text: str, x0: np.ndarray | None = None, x1: np.ndarray | Non
     lines = text.replace("\r", "").split("\n")
     boxed = x0 is not None and x1 is not None and len(x0) == len(lines) > 0
     if boxed:
-        order = np.argsort(x0, kind="stable")
-        left = x0[order]
-        column = np.empty(len(lines), np.int64)
-        column[order] = np.cumsum(np.r_[0, np.diff(left) > COLUMN_GAP])
-        right, start = np.full(column.max() + 1, -1), np.full(column.max() + 1, 1 << 30)
-        np.maximum.at(right, column, x1)
-        np.minimum.at(start, column, x0)
-        short = x1 < start[column] + SHORT * (right - start)[column]
-        column, short = column.tolist(), short.tolist()
+        left, ends = x0.tolist(), x1.tolist()
+        order = sorted(range(len(lines)), key=left.__getitem__)
+        column, start, right = [0] * len(lines), [left[order[0]]], [-1]
+        last = start[0]
+        for i in order:
+            if left[i] - last > COLUMN_GAP:
+                start.append(left[i])
+                right.append(-1)
+            last, column[i] = left[i], len(start) - 1
+            right[-1] = max(right[-1], ends[i])
+        least = [a + SHORT * (b - a) for a, b in zip(start, right)]
+        short = [e < least[c] for e, c in zip(ends, column)]
     else:
         sizes = sorted(len(line) for line in lines)
         least = SHORT * sizes[len(sizes) * 9 // 10]
@@ -116,14 +149,15 @@ def lines_in_order(text: str, x0: np.ndarray | None = None, x1: np.ndarray | Non
             out += [(c, i, p, s if len(parts) == 1 else len(p) < 12) for i, p in enumerate(parts)]
         elif line:
             out.append((c, 0, line, s))
-    out.sort(key=lambda x: x[:2])
+    out.sort(key=itemgetter(0, 1))
     return [x[2:] for x in out]
 
 
 def body_lines(text: str, x0: np.ndarray | None = None, x1: np.ndarray | None = None) -> tuple[list[tuple[str, bool]], list[int]]:
     """Lines in order without headings, page lines and leaders, and which of them look like advertisements."""
     kept = [(t, s) for t, s in lines_in_order(text, x0, x1) if "...." not in t and (_SMALL.search(t) or (len(t) < 8 and t[0].islower()))]
-    return kept, [i for i, (t, _) in enumerate(kept) if _LOOKS.search(t)]
+    ends = list(accumulate(len(t) + 1 for t, _ in kept))
+    return kept, sorted({bisect_right(ends, m.start()) for m in _LOOKS.finditer("\n".join(t for t, _ in kept))})
 
 
 def samples(text: str, x0: np.ndarray | None = None, x1: np.ndarray | None = None) -> tuple[list[str], list[str]]:
@@ -160,14 +194,13 @@ def measure(text: str | None, lexicon: Lexicon, x0: np.ndarray | None = None, x1
     if not text:
         return None
     body = _BREAK.sub("", "\n".join(prose_lines(text, lexicon, x0, x1)))
-    seen = Counter(_WORD.findall(body.lower()))
-    n = seen.total()
+    words = _WORD.findall(body.lower())
+    n = len(words)
     if n < 5:
         return None
-    sylls, letters, long_, hard, easy, joins = map(sum, zip(*[[m * x for x in _words[w]] for w, m in seen.items()]))
-    known = [(m, w[1], w[2]) for w, m in ((lexicon.words.get(w), m) for w, m in seen.items()) if w]
-    told = sum(m for m, *_ in known) or 1
+    sylls, letters, long_, hard, easy, joins, known, english, rarity = lexicon.sums(words)
+    told = known or 1
     ends = max(1, len(_END.findall(body)))
     per = min(n / ends, 60.0)
-    features = [per, log(per), sylls / n, letters / n, long_ / n, hard / n, easy / n, body.count(",") / n, joins / n, (body.count(";") + body.count(":")) / ends, sum(m * r for m, _, r in known) / told]
-    return features, float(n), sum(m * e for m, e, _ in known) / told, letters / max(1, len(body) - body.count(" ") - body.count("\n"))
+    features = [per, log(per), sylls / n, letters / n, long_ / n, hard / n, easy / n, body.count(",") / n, joins / n, (body.count(";") + body.count(":")) / ends, rarity / told]
+    return features, float(n), english / told, letters / max(1, len(body) - body.count(" ") - body.count("\n"))

@@ -231,6 +231,41 @@ def test_held_out_pages(spark, part):
     assert len(test) > 50 and (hard == said).mean() >= 0.97 and (test["g"] - test["level"]).abs().median() < 0.7
 
 
+def test_lexicon_counts_all_pages(spark):
+    n = 60_000
+    words = spark.range(100_000, 100_000 + n).withColumn("word", F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    df = words.select("id", F.concat_ws(" ", *["word"] * 5).alias("text"), F.when(F.col("id") % 3 == 0, "de").otherwise("en").alias("lang"))
+    want = learned([(r.word, *((0, 0, 0, 5) if r.id % 3 == 0 else (0, 5, 5, 0))) for r in words.collect()]).words
+    got = corpus_lexicon(df, "id", "text", "lang").words
+    assert len(got) == n and got == want
+
+
+def test_sums_over_pairs_are_those_of_all_pairs():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 3))
+    grades = np.round(2 * x @ [1.0, -0.5, 0.0] + rng.normal(size=400)) / 2
+    z, w = (x - x.mean(0)) / x.std(0), rank_weights(x, grades) * x.std(0)
+    a, b = np.nonzero(grades[:, None] - grades >= 1)
+    slope = (z[a] - z[b]).T @ (1 / (1 + np.exp((z[a] - z[b]) @ w))) / len(a) - 1e-4 * w
+    assert len(a) > 10_000 and np.abs(slope).max() < 1e-4
+    # a single pair is drawn as far apart as the penalty lets it
+    assert rank_weights(np.array([[1.0], [2.0]]), np.array([5.0, 15.0])) == pytest.approx([8.46], rel=0.01)
+
+
+def test_levels_are_fitted_on_all_graded_pages(spark):
+    n = 24_000
+    features = [F.sin(F.col("doc_id") * (i + 1) + i) for i in range(11)]
+    pages = spark.range(n).withColumnRenamed("id", "doc_id").withColumn("features", F.array(*features))
+    labels = pages.select("doc_id", F.round(9 + 3 * F.col("features")[0] - 2 * F.col("features")[4] + F.sin(F.col("doc_id") * 77.7) * (F.col("doc_id") % 5)).cast("int").alias("grade"))
+    known = pages.join(labels, "doc_id").toPandas()
+    x, y = np.array(known["features"].tolist()), known["grade"].to_numpy(float)
+    levels, w = fit_levels(pages, labels), rank_weights(x, y)
+    assert levels.weights == pytest.approx(w.tolist(), rel=1e-6, abs=1e-9)
+    s, g = isotonic(x @ np.array(levels.weights), y)
+    got = np.interp(s, levels.scores, levels.grades)
+    assert len(levels.grades) == len(g) > 10 and got == pytest.approx(g, abs=1e-6)
+
+
 TABLES = "/root/testdata/sf0.001"
 
 
